@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeward.llm import decontaminate, exact_dedup, mixing, simhash, token_files, warc
+from lakeward.llm import decontaminate, exact_dedup, mixing, personal_data, simhash, token_files, warc
 from lakeward.llm.common import table
 
 
@@ -38,8 +38,12 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs, keep=["doc_id"]).select("doc.doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data.digests(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_warc, op4_simhash, op5_decontamination, op6_exact_dedup, op7_token_output, op9_mixing)}
+    return {f.__name__: f for f in (op2_warc, op4_simhash, op5_decontamination, op6_exact_dedup, op7_token_output, op9_mixing, op10_personal_data)}
 
 
 ORACLES = {
