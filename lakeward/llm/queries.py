@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeward.llm import decontaminate, exact_dedup, mixing, personal_data, simhash, token_files, warc
-from lakeward.llm.common import table
+from lakeward.llm import decontaminate, exact_dedup, language_id, mixing, personal_data, simhash, token_files, warc
+from lakeward.llm.common import held, table
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +17,14 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(runs, folder).drop("payload")
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    out = held(F.col("doc_id"), 4, 2)
+    dictionaries = language_id.fit(docs, ~out)
+    found = language_id.identify(docs.select("doc_id", "text", out.alias("held_out")), dictionaries)
+    return found.select("doc.doc_id", "doc.held_out", "lang_pred", "score", "rejected")
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -43,7 +51,7 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_warc, op4_simhash, op5_decontamination, op6_exact_dedup, op7_token_output, op9_mixing, op10_personal_data)}
+    return {f.__name__: f for f in (op2_warc, op3_language_id, op4_simhash, op5_decontamination, op6_exact_dedup, op7_token_output, op9_mixing, op10_personal_data)}
 
 
 ORACLES = {
