@@ -8,10 +8,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeward.llm import decontaminate, exact_dedup, language_id, mixing, personal_data, simhash, token_files, warc
+from lakeward.llm import decontaminate, exact_dedup, language_id, mixing, personal_data, simhash, token_files, toxicity, warc
 from lakeward.llm.common import held, table
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    out = held(F.col("doc_id"), 3, 1)
+    scored = toxicity.score(docs.withColumn("held_out", out), toxicity.fit(docs, labels, ~out))
+    return scored.select("doc.doc_id", "doc.held_out", "score", "predicted")
+
+
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder, runs = warc.archive(table(spark, sf_dir, "pages"))
     return warc.read(runs, folder).drop("payload")
@@ -51,7 +58,7 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_warc, op3_language_id, op4_simhash, op5_decontamination, op6_exact_dedup, op7_token_output, op9_mixing, op10_personal_data)}
+    return {f.__name__: f for f in (op1_toxicity, op2_warc, op3_language_id, op4_simhash, op5_decontamination, op6_exact_dedup, op7_token_output, op9_mixing, op10_personal_data)}
 
 
 ORACLES = {
