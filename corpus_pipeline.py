@@ -1,13 +1,58 @@
-"""A corpus pipeline of the training-data operators."""
+"""A corpus pipeline: language ID, near-duplicates, decontamination, mixing, token output.
+
+Each stage takes (spark, docs, sf_dir) and its result is written as Parquet before the next one reads it. All
+but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lakeward.llm import decontaminate, language_id, mixing, simhash, token_files
+from lakeward.llm.common import shared_dir, table, written
 
+#: No stage after the first can be stated without the first, and compression can't be stated in SQL.
 ORACLE_SQL = None
 
-STAGES: list = []
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps documents whose language is told by a clear margin; dictionaries come from the labelled documents."""
+    found = language_id.identify(docs, language_id.fit(docs, F.lit(True)))
+    return found.where("not rejected").select("doc.*")
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one row of each group: that with the smallest doc_id, of rows that repeat it the first."""
+    numbered = written(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered", shared_dir(spark))
+    groups = simhash.near_duplicates(numbered, id_col="__row").select(F.col("__row").alias("its_row"), "component_id")
+    named = numbered.select("doc_id", "__row").join(groups, F.col("__row") == F.col("its_row"))
+    kept = named.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__row"))["__row"].alias("kept_row"))
+    return numbered.join(kept, F.col("__row") == F.col("kept_row"), "left_semi").drop("__row")
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that hold a window of a benchmark item, with all rows of their doc_id."""
+    found = decontaminate.contamination(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    hit = found.where("contaminated").select(F.col("doc_id").alias("hit_id")).distinct()
+    return docs.join(hit, F.col("doc_id").eqNullSafe(F.col("hit_id")), "left_anti")
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it."""
+    return mixing.mixed(docs)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Writes token files and returns the digest of what they hold."""
+    return token_files.token_digests(spark, docs, public_tokenizers.path("word_bpe_49k.json"), 1)
+
+
+STAGES = [("language ID", language), ("SimHash near-dedup", near_duplicates), ("benchmark decontamination", decontaminated), ("mixing sources to target weights", mixed), ("token-ID output", tokens)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, root = table(spark, sf_dir, "documents"), shared_dir(spark)
+    for k, (_, stage) in enumerate(STAGES):
+        docs = written(stage(spark, docs, sf_dir), f"stage{k}", root)
+    return docs

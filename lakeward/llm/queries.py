@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeward.llm import decontaminate, exact_dedup, language_id, mixing, personal_data, simhash, token_files, toxicity, warc
+from lakeward.llm import decontaminate, exact_dedup, language_id, mixing, personal_data, simhash, token_counts, token_files, toxicity, warc
 from lakeward.llm.common import held, table
 
 
@@ -48,6 +48,12 @@ def op7_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_digests(spark, table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"), 1)
 
 
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of every document before and after a review whose edits are drawn from its doc_id."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", token_counts.review_edits().alias("edits"))
+    return token_counts.edit_counts(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return mixing.mix(docs, keep=["doc_id"]).select("doc.doc_id", "size", "source_size", "target", "taken")
@@ -58,7 +64,7 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_warc, op3_language_id, op4_simhash, op5_decontamination, op6_exact_dedup, op7_token_output, op9_mixing, op10_personal_data)}
+    return {f.__name__: f for f in (op1_toxicity, op2_warc, op3_language_id, op4_simhash, op5_decontamination, op6_exact_dedup, op7_token_output, op8_token_counts, op9_mixing, op10_personal_data)}
 
 
 ORACLES = {
