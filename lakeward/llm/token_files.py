@@ -29,8 +29,11 @@ from lakeward.llm.common import map_arrow, remove, shared_dir, written
 
 MAGIC = b"LWTOKEN1"
 BLOCK_IDS = 1 << 18
-#: Entries of a worker's caches of encoded words; they are emptied when full.
-CACHE = 400_000
+#: Entries of a worker's caches of encoded chunks and of encoded words (about 200 bytes each); emptied when full.
+CHUNKS, WORDS = 700_000, 1_000_000
+#: Characters that stand for the bytes in byte-level vocabularies: printable Latin-1 for itself, others from 256 on.
+_SELF = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_OF_BYTE = {b: chr(b) for b in _SELF} | {b: chr(256 + k) for k, b in enumerate(x for x in range(256) if x not in _SELF)}
 TRAILER = "<QQ8s"
 TRAILER_SIZE = struct.calcsize(TRAILER)
 #: Words whose normal form is their lower case: precomposed Latin letters, perhaps one full stop or comma.
@@ -50,15 +53,24 @@ class WordEncoder(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self.parts: dict[str, bytes] = {}
         self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+        self.model = self.tokenizer.model
+        # a plain word needs neither normaliser nor splitter; the model alone must give the same ids
+        self.alone = all(self.word(x) == self.direct(x) for x in ("a", "the", "übergrößen", "élève", "ñandúes", "ingth"))
 
     def direct(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
 
+    def word(self, text: str) -> bytes:
+        try:
+            return np.array([x.id for x in self.model.tokenize(text.encode("utf-8").decode("latin-1").translate(_OF_BYTE))], self.kind).tobytes()
+        except Exception:  # noqa: BLE001  the model can't take a bare word: the whole tokenizer does
+            return b""
+
     def part(self, text: str) -> bytes:
         if (known := self.parts.get(text)) is None:
-            if len(self.parts) >= CACHE:
+            if len(self.parts) >= WORDS:
                 self.parts.clear()
-            known = self.parts[text] = self.direct(text)
+            known = self.parts[text] = self.word(text) if self.alone and text.isalpha() else self.direct(text)
         return known
 
     def __missing__(self, chunk: str) -> bytes:
@@ -68,7 +80,7 @@ class WordEncoder(dict):
             ids = self.part(plain[1].lower()) + (self.part(plain[2]) if plain[2] else b"")
         else:
             ids = self.direct(chunk) if chunk else b""
-        if len(self) >= CACHE:
+        if len(self) >= CHUNKS:
             self.clear()
         self[chunk] = ids
         return ids
