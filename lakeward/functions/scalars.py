@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -32,19 +34,26 @@ def squeezed(c: Column) -> Column:
     return F.regexp_replace(trimmed(c), r"\s+", " ")
 
 
+def _once(c: Column, body: Callable[[Column], Column]) -> Column:
+    """body of c, with c computed once: repeated in place, many formats outgrow what a generated method may hold."""
+    return F.transform(F.array(c), body)[0]
+
+
 def parse_date(c: Column) -> Column:
     """Date of a text in any known format, else null. A text of ISO shape is read as ISO or not at all."""
-    s = filled(c)
-    iso = F.when(s.rlike(ISO), F.try_to_date(s, "yyyy-MM-dd"))
-    read = [F.try_to_timestamp(s, F.lit(f)).cast("date") if "H" in f else F.try_to_date(s, f) for f in DATE_FORMATS + LENIENT_FORMATS]
-    return F.when(s.rlike(ISO), iso).otherwise(F.coalesce(*read))
+
+    def read(s: Column) -> Column:
+        known = [F.try_to_timestamp(s, F.lit(f)).cast("date") if "H" in f else F.try_to_date(s, f) for f in DATE_FORMATS + LENIENT_FORMATS]
+        return F.when(s.rlike(ISO), F.try_to_date(s, "yyyy-MM-dd")).otherwise(F.coalesce(*known))
+
+    return _once(filled(c), read)
 
 
 def parse_timestamp(c: Column) -> Column:
     """Timestamp without zone; each value is read by itself."""
-    s = filled(c)
     formats = ("yyyy-M-d H:m:s", "yyyy-M-d'T'H:m:s", "yyyy-M-d'T'H:m:s.SSS", "yyyy-M-d'T'H:m:s[.SSSSSS][XXX]", "yyyy-M-d H:m:s.SSS", "yyyy-M-d H:m:s.SSSSSS", "yyyy-M-d H:m", "d/M/yyyy H:m:s", "d/M/yyyy H:m", "d-MMM-yyyy H:m:s")
-    return F.coalesce(*(F.try_to_timestamp(s, F.lit(f)) for f in formats), parse_date(c).cast("timestamp")).cast("timestamp_ntz")
+    known = _once(filled(c), lambda s: F.coalesce(*(F.try_to_timestamp(s, F.lit(f)) for f in formats)))
+    return F.coalesce(known, parse_date(c).cast("timestamp")).cast("timestamp_ntz")
 
 
 def title_case(c: Column) -> Column:

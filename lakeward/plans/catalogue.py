@@ -58,11 +58,13 @@ def daily(spark: SparkSession, d: str) -> DataFrame:
     return gold.daily_admissions(tb.encounters(spark, d), tb.hospitals(spark, d))
 
 
-LAST = (F.col("l_shipdate"), [F.col(c) for c in ("l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_discount", "l_tax")])
+def last_line(df: DataFrame, mode: str) -> DataFrame:
+    """The last delivery of each line; further columns decide between equal dates."""
+    return upsert.dedupe(df, "claim_id", F.col("l_shipdate"), [F.col(c) for c in ("l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_discount", "l_tax")], mode)
 
 
 def claims(spark: SparkSession, d: str) -> DataFrame:
-    return tb.as_claims(upsert.dedupe(tb.lines(spark, d), "claim_id", *LAST, mode="row"))
+    return tb.as_claims(last_line(tb.lines(spark, d), "row"))
 
 
 def claims_mart(spark: SparkSession, d: str) -> DataFrame:
@@ -91,7 +93,7 @@ register("g_lab_abnormality", labs_mart, marted(LABS, "SELECT * FROM labs", "enc
 
 @query("SELECT claim_id, l_partkey, l_suppkey, l_quantity, l_extendedprice, cast(l_shipdate AS DATE) AS shipped FROM line1", "line1")
 def s_claims_dedupe_row(spark: SparkSession, d: str) -> DataFrame:
-    return upsert.dedupe(tb.lines(spark, d), "claim_id", *LAST, mode="row").select("claim_id", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", F.col("l_shipdate").cast("date").alias("shipped"))
+    return last_line(tb.lines(spark, d), "row").select("claim_id", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", F.col("l_shipdate").cast("date").alias("shipped"))
 
 
 GAPS = "SELECT claim_id, l_shipdate, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_discount, l_tax, CASE WHEN l_partkey % 3 <> 0 THEN l_returnflag END AS flag, CASE WHEN l_suppkey % 2 = 0 THEN l_quantity END AS quantity FROM line"
@@ -104,14 +106,14 @@ GAPS = "SELECT claim_id, l_shipdate, l_partkey, l_suppkey, l_extendedprice, l_qu
 )
 def s_claims_dedupe_coalesce(spark: SparkSession, d: str) -> DataFrame:
     rows = tb.lines(spark, d).withColumns({"flag": F.when(F.col("l_partkey") % 3 != 0, F.col("l_returnflag")), "quantity": F.when(F.col("l_suppkey") % 2 == 0, F.col("l_quantity"))})
-    return upsert.dedupe(rows, "claim_id", *LAST).select("claim_id", "flag", "quantity", "l_partkey")
+    return last_line(rows, "coalesce").select("claim_id", "flag", "quantity", "l_partkey")
 
 
 def _batches(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     rows = tb.lines(spark, d).select("claim_id", "l_orderkey", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_discount", "l_tax", "l_shipdate")
     early = F.col("l_shipdate") < "1999-01-01"
-    one = upsert.dedupe(rows.where(early), "claim_id", *LAST, mode="row")
-    two = upsert.dedupe(rows.where(~early | (F.col("l_orderkey") % 10 == 0)), "claim_id", *LAST, mode="row")
+    one = last_line(rows.where(early), "row")
+    two = last_line(rows.where(~early | (F.col("l_orderkey") % 10 == 0)), "row")
     return one, two
 
 
@@ -244,7 +246,7 @@ def f_lab_flag(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT claim_id, l_partkey, CASE l_partkey % 5 WHEN 0 THEN 'Approved' WHEN 1 THEN 'Rejected' WHEN 2 THEN 'Pending' WHEN 3 THEN 'On Hold' ELSE 'Pending' END AS status FROM line1", "line1")
 def f_claim_status(spark: SparkSession, d: str) -> DataFrame:
     forms = F.element_at(F.array(*(F.lit(x) for x in (" approved ", "REJECTED (2)", "pend.", "on hold", None))), (F.col("l_partkey") % 5 + 1).cast("int"))
-    return upsert.dedupe(tb.lines(spark, d), "claim_id", *LAST, mode="row").select("claim_id", "l_partkey", scalars.claim_status(forms).alias("status"))
+    return last_line(tb.lines(spark, d), "row").select("claim_id", "l_partkey", scalars.claim_status(forms).alias("status"))
 
 
 @query("SELECT s_suppkey, CASE s_suppkey % 8 WHEN 0 THEN 'Star Health' WHEN 1 THEN 'ICICI Lombard' WHEN 2 THEN 'HDFC ERGO' WHEN 3 THEN 'Bajaj Allianz' WHEN 4 THEN 'Care Health' WHEN 5 THEN 'Niva Bupa' WHEN 6 THEN 'Acme Mutual' ELSE 'Unknown' END AS insurer FROM supplier")
