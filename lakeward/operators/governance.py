@@ -72,7 +72,7 @@ def role_counts(encounters: DataFrame, patients: DataFrame, users: DataFrame, ho
     def visible(df: DataFrame, column: str, name: str) -> DataFrame:
         per = df.groupBy(F.col(column).alias("__id")).agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(hospitals.select(F.col("hospital_id").alias("__h"), F.col("region").alias("__r"))), F.col("__id") == F.col("__h"), "left")
         allowed = F.col("role").isin(AUDITOR, ENGINEER) | ((F.col("role") == ANALYST) & (F.col("region") == F.col("__r"))) | ((F.col("role") == MANAGER) & (F.col("hospital_id") == F.col("__id")))
-        return users.join(per, allowed).groupBy("user_name").agg(F.sum("n").alias(name))
+        return users.join(F.broadcast(per), allowed).groupBy("user_name").agg(F.sum("n").alias(name))
 
     out = users.select("user_name", "role")
     for df, column, name in ((encounters, "hospital_id", "visible_encounters"), (patients, "primary_hospital_id", "visible_patients")):
