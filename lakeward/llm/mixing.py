@@ -45,7 +45,8 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...], total_share: fl
         .withColumn("open", F.sum("weight").over(by_need.rowsBetween(0, Window.unboundedFollowing)))
         .withColumn("level", (F.sum("source_size").over(whole) * total_share - F.col("capped")) / F.col("open"))
         # the first source, by need, that the level leaves below its cap fixes the level for all after it
-        .withColumn("fixed", F.min(F.when(F.col("level") <= F.col("need"), F.struct("need", "level"))).over(whole)["level"])
+        .withColumn("nth", F.row_number().over(by_need))
+        .withColumn("fixed", F.min(F.when(F.col("level") <= F.col("need"), F.struct("nth", "level"))).over(whole)["level"])
         .select("source", "source_size", F.when(F.col("fixed").isNull(), F.col("cap")).otherwise(F.least(F.col("cap"), F.col("fixed") * F.col("weight"))).alias("target"))
     )
 

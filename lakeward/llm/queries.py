@@ -88,6 +88,25 @@ ORACLES = {
         SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
                doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))""",
+    "op9_mixing": r"""
+        WITH RECURSIVE d AS (SELECT doc_id, source, CAST(doc_id AS VARCHAR) AS key, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
+        s0 AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+        s1 AS (SELECT *, CAST([5, 2, 1][(row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 + 1] AS DOUBLE) AS weight FROM s0),
+        s2 AS (SELECT *, source_size * 2.0::DOUBLE AS cap, source_size * 2.0::DOUBLE / weight AS need FROM s1),
+        s3 AS (SELECT *, row_number() OVER w AS nth, coalesce(sum(cap) OVER (ORDER BY need, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS capped, sum(weight) OVER (ORDER BY need, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open, CAST(sum(source_size) OVER () AS BIGINT) AS total
+            FROM s2 WINDOW w AS (ORDER BY need, source NULLS LAST)),
+        s4 AS (SELECT *, (total * 1.5::DOUBLE - capped) / open AS level FROM s3),
+        s5 AS (SELECT *, (SELECT arg_min(level, nth) FROM s4 WHERE level <= need) AS fixed FROM s4),
+        s6 AS (SELECT source, source_size, CASE WHEN fixed IS NULL THEN cap ELSE least(cap, fixed * weight) END AS target FROM s5),
+        s7 AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size + 1e-12::DOUBLE) ELSE 0 END AS whole FROM s6),
+        p AS (SELECT *, greatest(0.0::DOUBLE, target - whole * source_size) AS rest, CASE WHEN source_size > 0 THEN least(greatest(0.0::DOUBLE, target - whole * source_size) / source_size, 1.0::DOUBLE - 1e-9::DOUBLE) ELSE 0 END AS f FROM s7),
+        r0 AS (SELECT d.*, p.* EXCLUDE (source), (CAST('0x' || substr(md5('7:' || coalesce(key, '')), 1, 13) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source),
+        r1 AS (SELECT *, CASE WHEN f > 0 THEN u * (1.0::DOUBLE - f) / (u * (1.0::DOUBLE - f) + (1.0::DOUBLE - u) * f) ELSE 1 END AS v FROM r0),
+        r2 AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY v, key, size ROWS UNBOUNDED PRECEDING) AS through FROM r1),
+        r3 AS (SELECT *, through <= rest AND rest > 0 AS inside, sum(CASE WHEN through <= rest THEN 0 ELSE 1 END) OVER (PARTITION BY source ORDER BY v, key, size ROWS UNBOUNDED PRECEDING) AS after FROM r2),
+        g AS (SELECT source, CAST(0 AS HUGEINT) AS k, any_value(rest) - coalesce(max(through) FILTER (inside), 0) AS gap, CAST(NULL AS BIGINT) AS doc_id, false AS one FROM r3 WHERE rest > 0 GROUP BY source
+            UNION ALL SELECT n.source, n.after, CASE WHEN n.size <= g.gap THEN g.gap - n.size ELSE g.gap END, n.doc_id, n.size <= g.gap FROM g JOIN r3 n ON n.source IS NOT DISTINCT FROM g.source AND n.after = g.k + 1 AND NOT n.inside WHERE g.k < 64)
+        SELECT r3.doc_id, size, source_size, target, CAST((whole + CASE WHEN inside OR coalesce(one, false) THEN 1 ELSE 0 END) * size AS BIGINT) AS taken FROM r3 LEFT JOIN (SELECT doc_id, one FROM g WHERE one) x ON x.doc_id = r3.doc_id""",
 }
 
 
