@@ -67,6 +67,17 @@ def fact_view(df: DataFrame, users: DataFrame, hospitals: DataFrame, user: str,
     return secured(df, users, hospitals, user).select(*columns)
 
 
+def register_scope(spark: SparkSession, users: DataFrame) -> None:
+    """user_scope(name): table function of a user's role, hospital and region; no rows if unknown."""
+    users.createOrReplaceTempView("user_access_entries")
+    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION user_scope(who STRING) RETURNS TABLE (role STRING, hospital_id STRING, region STRING) RETURN SELECT role, hospital_id, region FROM user_access_entries WHERE user_name = who")
+
+
+def column_masks(df: DataFrame, masks: dict[str, str], drop: tuple[str, ...] = ()) -> DataFrame:
+    """Applies registered SQL functions to columns, as a table's mask policies do; other columns stay."""
+    return df.selectExpr(*(f"{masks[c]}(`{c}`) AS `{c}`" if c in masks else f"`{c}`" for c in df.columns if c not in drop))
+
+
 def role_counts(encounters: DataFrame, patients: DataFrame, users: DataFrame, hospitals: DataFrame) -> DataFrame:
     """For each user: role, visible encounters and patients. One aggregation by hospital serves all users."""
     def visible(df: DataFrame, column: str, name: str) -> DataFrame:

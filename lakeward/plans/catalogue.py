@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from lakeward.functions import masking, scalars
 from lakeward.operators import gold, governance, profile, reports, rules, upsert
 from lakeward.plans import testbed as tb
+from lakeward.streaming import incremental
 
 Query = Callable[[SparkSession, str], DataFrame]
 _queries: dict[str, Query] = {}
@@ -372,6 +374,19 @@ def v_literal_predicate(spark: SparkSession, d: str) -> DataFrame:
     return governance.predicate(tb.encounters(spark, d), tb.users(spark), tb.hospitals(spark, d), "analyst_europe").select("encounter_id", "hospital_id")
 
 
+@query("SELECT role, hospital_id, region FROM usr WHERE user_name = 'manager_h05'", "usr")
+def v_user_scope(spark: SparkSession, d: str) -> DataFrame:
+    governance.register_scope(spark, tb.users(spark))
+    return spark.sql("SELECT * FROM user_scope('manager_h05')")
+
+
+@query("SELECT concat(upper(substr(full_name, 1, 1)), '***') AS full_name, concat('******', right(phone, 4)) AS phone, concat(substr(email, 1, 1), '***', substr(email, instr(email, '@'))) AS email, concat('********', right(national_id, 4)) AS national_id, primary_hospital_id, birth, city FROM pat", "pat")
+def v_column_masks(spark: SparkSession, d: str) -> DataFrame:
+    masking.register_policies(spark, as_of=f"date'{tb.AS_OF}'")
+    masks = {"full_name": "policy_full_name", "phone": "policy_phone", "email": "policy_email", "national_id": "policy_national_id"}
+    return governance.column_masks(tb.patients_raw(spark, d), masks, drop=("original_patient_id",))
+
+
 # profile
 
 
@@ -523,6 +538,36 @@ def e_events_by_type(spark: SparkSession, d: str) -> DataFrame:
     return tb.table(spark, d, "events").where("ts is not null").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("user_id").alias("users"))
 
 
+@query("SELECT concat('batch_', l_orderkey % 3) AS batch_id, count(*) AS n FROM lineitem WHERE l_orderkey % 3 = 1 GROUP BY 1")
+def s_partition_filter(spark: SparkSession, d: str) -> DataFrame:
+    rows = tb.table(spark, d, "lineitem").select(F.concat(F.lit("batch_"), (F.col("l_orderkey") % 3).cast("string")).alias("batch_id"))
+    return rows.where("batch_id = 'batch_1'").groupBy("batch_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT insurer, count(*) AS bronze, count(DISTINCT claim_id) AS silver, count(*) - count(DISTINCT claim_id) AS superseded FROM (SELECT claim_id, CASE l_suppkey % 6 WHEN 0 THEN 'Star Health' WHEN 1 THEN 'ICICI Lombard' WHEN 2 THEN 'HDFC ERGO' WHEN 3 THEN 'Bajaj Allianz' WHEN 4 THEN 'Care Health' ELSE 'Niva Bupa' END AS insurer FROM line) GROUP BY 1", "line")
+def r_rows_by_layer(spark: SparkSession, d: str) -> DataFrame:
+    out = tb.as_claims(tb.lines(spark, d)).groupBy("insurer").agg(F.count(F.lit(1)).alias("bronze"), F.count_distinct("claim_id").alias("silver"))
+    return out.withColumn("superseded", F.col("bronze") - F.col("silver"))
+
+
+@query(FAULTS + ", t AS (SELECT count(*) AS bronze, count(*) FILTER (reason IS NULL) AS silver, count(*) FILTER (reason IS NOT NULL) AS quarantined FROM c) SELECT 'encounters' AS entity, bronze, silver, quarantined, bronze - silver - quarantined AS superseded, round_even(silver / bronze * 100.0::DOUBLE * 100, 0) / 100 AS silver_pct FROM t", "hosp")
+def r_cleansing_summary(spark: SparkSession, d: str) -> DataFrame:
+    rows = _classified(spark, d)
+    records = rules.quarantine_records(rows.where("reject_reason is not null"), "encounters", "encounter_id", "batch_0", ["encounter_id"], "t")
+    return reports.cleansing_summary({"encounters": rows}, {"encounters": rows.where("reject_reason is null")}, records)
+
+
+@query("SELECT cast(cast(ts AS DATE) AS VARCHAR) AS day, event_type, count(*) AS n FROM events WHERE ts IS NOT NULL GROUP BY 1, 2")
+def st_available_now(spark: SparkSession, d: str) -> DataFrame:
+    """Counts by day and kind from a stream of all files that are there; equal to the batch result."""
+    events = tb.table(spark, d, "events")
+    stream = incremental.read_stream(spark, f"{d}/events.parquet*", events.schema).withColumn("ts", F.col("ts").cast("timestamp"))
+    name = f"windows_{uuid.uuid4().hex}"
+    counts = incremental.windowed_counts(stream.where("ts is not null"))
+    counts.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start().awaitTermination()
+    return spark.table(name).select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n")
+
+
 def queries() -> dict[str, Query]:
     return dict(_queries)
 

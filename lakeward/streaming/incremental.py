@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from lakeward.operators import upsert
 from lakeward.sources.storage import SnapshotTable
@@ -20,7 +21,7 @@ def upsert_stream(stream: DataFrame, table: SnapshotTable, key: str, order: str,
     return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def read_stream(spark: SparkSession, path: str, schema: str) -> DataFrame:
+def read_stream(spark: SparkSession, path: str, schema: str | StructType) -> DataFrame:
     return spark.readStream.schema(schema).parquet(path)
 
 
