@@ -12,8 +12,8 @@ PII_NAMES = ("full_name", "phone", "email", "national_id")
 def user_row(spark: SparkSession, users: DataFrame, user: str) -> DataFrame:
     """One row for the session's user; role null if unknown."""
     session = spark.createDataFrame([(user,)], "session_user string")
-    known = users.select("user_name", F.col("role").alias("__role"), F.col("hospital_id").alias("__hospital"), F.col("region").alias("__region"))
-    return session.join(known, F.col("session_user") == F.col("user_name"), "left").drop("session_user", "user_name")
+    known = users.where(F.col("user_name") == user).select("user_name", F.col("role").alias("__role"), F.col("hospital_id").alias("__hospital"), F.col("region").alias("__region"))
+    return session.join(F.broadcast(known), F.col("session_user") == F.col("user_name"), "left").drop("session_user", "user_name")
 
 
 def secured(df: DataFrame, users: DataFrame, hospitals: DataFrame, user: str, hospital_col: str = "hospital_id") -> DataFrame:
