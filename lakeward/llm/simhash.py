@@ -200,6 +200,5 @@ def near_duplicates(docs: DataFrame, radius: int = 3, shingle: int = 3, seed: in
     roots = components(links(nodes.select("fp"), radius))
     placed = written(nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "low", F.coalesce("root", "fp").alias("root")), "placed", root)
     least = placed.groupBy("root").agg(F.min("low").alias("component_id"))
-    # a component of one fingerprint needs no join
     moved = placed.join(least, "root").select("fp", "component_id")
     return marked.join(moved, "fp").select(F.col("doc_id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

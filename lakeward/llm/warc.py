@@ -34,7 +34,7 @@ RUN = 256
 PIECE = 1 << 20
 DATE = "2026-01-01T00:00:00Z"
 RAW = "file string, records long"
-RUNS = "file string, sidecar string, first long, records long, at long, size long"
+RUNS = "file string, sidecar string, records long, at long, size long, index_at long, index_size long"
 
 
 def record_id(page_id: object, digest: str) -> str:
@@ -158,11 +158,12 @@ def normalise(files: DataFrame, folder: str) -> DataFrame:
                             out.write(pack.compress(piece))
                         out.write(pack.flush())
                         entry = {"offset": at, "length": out.tell() - at, "type": about.get("warc-type"), "id": about.get("warc-record-id"), "uri": about.get("warc-target-uri"), "digest": about.get("warc-payload-digest")}
-                        index.write(json.dumps(entry).encode() + b"\n")
                         if n % RUN == 0:
-                            runs.append([f"{own}.members.warc.gz", f"{own}.idx", n, 0, at, 0])
-                        runs[-1][3] += 1
-                        runs[-1][5] += entry["length"]
+                            runs.append([f"{own}.members.warc.gz", f"{own}.idx", 0, at, 0, index.tell(), 0])
+                        line = json.dumps(entry).encode() + b"\n"
+                        index.write(line)
+                        for k, grown in ((2, 1), (4, entry["length"]), (6, len(line))):
+                            runs[-1][k] += grown
                         at, n = out.tell(), n + 1
                 if runs:
                     yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*runs, strict=True)], [x.split()[0] for x in RUNS.split(", ")])
@@ -182,7 +183,7 @@ def read(runs: DataFrame, folder: str, payloads: bool = False) -> DataFrame:
         for batch in batches:
             for run in batch.to_pylist():
                 with store.open_input_file(f"{where}/{run['sidecar']}") as file:
-                    entries = [json.loads(x) for x in file.read().splitlines()[run["first"] : run["first"] + run["records"]]]
+                    entries = [json.loads(x) for x in file.read_at(run["index_size"], run["index_at"]).splitlines()]
                 rows = []
                 with store.open_input_file(f"{where}/{run['file']}") as file:
                     for entry in entries:
@@ -201,7 +202,7 @@ def read(runs: DataFrame, folder: str, payloads: bool = False) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows, strict=True), kinds, strict=True)], [x.split()[0] for x in READ.split(", ")])
 
     parts = int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return map_arrow(runs.repartition(parts, F.xxhash64("file", "first")), work, READ)
+    return map_arrow(runs.repartition(parts, F.xxhash64("file", "at")), work, READ)
 
 
 def archive(pages: DataFrame, folder: str | None = None, **columns: object) -> tuple[str, DataFrame]:
