@@ -1,9 +1,9 @@
 """Token-ID output: documents as ids in files coded by a range asymmetric numeral system (rans.py).
 
-Layout of a file: blocks, then a directory (zlib) of the documents: their ids, flags for null ids and their
-token counts, then a trailer. A block holds whole documents and closes at BLOCK_IDS or more; a longer
-document has blocks of its own. A unit is a run of blocks that holds whole documents: what one reader task
-decodes. One frequency table, counted over all documents, is a file of its own and serves all blocks.
+Layout of a file: units, then the units' places (zlib) and a trailer. A unit holds whole documents, closes at
+BLOCK_IDS ids or more, and is what a reader decodes at a time: a directory (zlib) of its documents, with their
+ids, flags for null ids and token counts, then one block, or several where a document is very long. One
+frequency table, counted over all documents, is a file of its own and serves all blocks.
 
 Each writer task names its file by a fresh identifier and returns a row for each unit; Spark commits rows of
 one attempt only, so that files of lost attempts are never referred to.
@@ -128,7 +128,7 @@ def frequencies(tokens: DataFrame, vocabulary: int, kind: str) -> np.ndarray:
     return total
 
 
-UNITS = "part long, file string, at long, size long, first_doc long, n_docs long, first_id long, n_ids long"
+UNITS = "part long, file string, at long, size long, n_docs long, first_id long, n_ids long"
 
 
 def write_files(tokens: DataFrame, folder: str, table: bytes, kind: str) -> DataFrame:
@@ -147,18 +147,20 @@ def write_files(tokens: DataFrame, folder: str, table: bytes, kind: str) -> Data
         doc_ids, counts, units, n_ids = [], [], [], 0
         with store.open_output_stream(path) as out:
             pending: list[bytes] = []
-            held = first = 0
+            held = 0
 
             def close() -> None:
-                nonlocal pending, held, first
-                ids = np.frombuffer(b"".join(pending), kind)
-                at = out.tell()
-                cut = 1 if len(ids) > 4 * BLOCK_IDS else 0
-                for k in range(0, len(ids), BLOCK_IDS if cut else max(1, len(ids))):
-                    block = rans.encode(ids[k : k + BLOCK_IDS] if cut else ids, coder)
+                nonlocal pending, held, doc_ids, counts
+                ids, at, n = np.frombuffer(b"".join(pending), kind), out.tell(), len(counts)
+                known = np.array([x is not None for x in doc_ids], np.uint8)
+                directory = zlib.compress(known.tobytes() + np.array([x or 0 for x in doc_ids], "<i8").tobytes() + np.array(counts, "<u8").tobytes())
+                out.write(struct.pack("<II", n, len(directory)) + directory)
+                step = BLOCK_IDS if len(ids) > 4 * BLOCK_IDS else max(1, len(ids))
+                for k in range(0, len(ids), step):
+                    block = rans.encode(ids[k : k + step], coder)
                     out.write(struct.pack("<Q", len(block)) + block)
-                units.append((at, out.tell() - at, first, len(counts) - first, n_ids - len(ids), len(ids)))
-                pending, held, first = [], 0, len(counts)
+                units.append((at, out.tell() - at, n, n_ids - len(ids), len(ids)))
+                pending, held, doc_ids, counts = [], 0, [], []
 
             for batch in batches:
                 for doc_id, n, ids in zip(batch[0].to_pylist(), batch[1].to_pylist(), batch[2].to_pylist(), strict=True):
@@ -174,10 +176,8 @@ def write_files(tokens: DataFrame, folder: str, table: bytes, kind: str) -> Data
             if pending:
                 close()
             at = out.tell()
-            known = np.array([x is not None for x in doc_ids], np.uint8)
-            directory = zlib.compress(known.tobytes() + np.array([x or 0 for x in doc_ids], "<i8").tobytes() + np.array(counts, "<u8").tobytes())
-            out.write(directory + struct.pack(TRAILER, at, len(counts), MAGIC))
-        columns = list(zip(*units, strict=True)) or [[]] * 6
+            out.write(zlib.compress(np.array(units, "<u8").tobytes()) + struct.pack(TRAILER, at, len(units), MAGIC))
+        columns = list(zip(*units, strict=True)) or [[]] * 5
         n = len(units)
         yield pa.RecordBatch.from_arrays([pa.array([part] * n, pa.int64()), pa.array([path.rsplit("/", 1)[1]] * n, pa.string()), *(pa.array(x, pa.int64()) for x in columns)], [x.split()[0] for x in UNITS.split(", ")])
 
@@ -194,23 +194,20 @@ def read_files(units: DataFrame, folder: str, digest: bool = True) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, where = fs.FileSystem.from_uri(folder)
-        coder = None
+        with store.open_input_file(f"{where}/table") as file:
+            coder = rans.Table.of(file.read())
         for batch in batches:
             for row in batch.to_pylist():
-                with store.open_input_file(f"{where}/table") as file:
-                    coder = coder or rans.Table.of(file.read())
                 with store.open_input_file(f"{where}/{row['file']}") as file:
-                    end = file.size()
-                    at, n_docs, magic = struct.unpack(TRAILER, file.read_at(TRAILER_SIZE, end - TRAILER_SIZE))
-                    if magic != MAGIC:
+                    if struct.unpack(TRAILER, file.read_at(TRAILER_SIZE, file.size() - TRAILER_SIZE))[2] != MAGIC:
                         raise ValueError(f"{row['file']} is not a token file")
-                    directory = zlib.decompress(file.read_at(end - TRAILER_SIZE - at, at))
                     data = file.read_at(row["size"], row["at"])
-                docs = slice(row["first_doc"], row["first_doc"] + row["n_docs"])
-                known = np.frombuffer(directory, np.uint8, n_docs)[docs]
-                doc_ids = np.frombuffer(directory, "<i8", n_docs, n_docs)[docs]
-                counts = np.frombuffer(directory, "<u8", n_docs, 9 * n_docs)[docs].astype(np.int64)
-                blocks, k = [], 0
+                n_docs, k = struct.unpack_from("<II", data)
+                directory, k = zlib.decompress(data[8 : 8 + k]), 8 + k
+                known = np.frombuffer(directory, np.uint8, n_docs)
+                doc_ids = np.frombuffer(directory, "<i8", n_docs, n_docs)
+                counts = np.frombuffer(directory, "<u8", n_docs, 9 * n_docs).astype(np.int64)
+                blocks = []
                 while k < len(data):
                     size = struct.unpack_from("<Q", data, k)[0]
                     blocks.append(rans.decode(data[k + 8 : k + 8 + size], coder))
