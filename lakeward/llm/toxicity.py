@@ -13,6 +13,7 @@ from __future__ import annotations
 import json
 import math
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,13 +23,15 @@ from pyspark.sql import functions as F
 
 from lakeward.llm.common import map_arrow, shared_dir, written
 
-#: Bounds of the fit: terms, and labelled texts on which near matches and the calibration are measured.
-MOST_TERMS, SAMPLE_DOCS = 2000, 20_000
+#: Bounds of the fit: terms, and labelled documents (about) from which all of it is learned.
+MOST_TERMS, SAMPLE_DOCS = 2000, 40_000
 MIN_TOXIC, MIN_RATIO, MIN_PRECISION = 3, 15.0, 0.7
 MIN_FUZZY, EDITS = 4, 1
 WINDOW, MOST_COUNTED = 8, 6
 #: A toxic text holds a misspelled term this much less often than the term itself.
 NEAR_SHARE, QUOTED_WORTH, COMPANY = 0.1, 0.25, 0.15
+#: Terms whose near matches weigh less than this in a text of so many words are sought as they are spelled only.
+LEAST_NEAR, TYPICAL_WORDS = 2.0, 300
 THRESHOLD = 0.7
 CACHE = 1_000_000
 _WORD = re.compile(r"[^\W_]+")
@@ -66,35 +69,55 @@ class Automaton:
 class Lexicon:
     """Trie of terms."""
 
-    def __init__(self, terms: list[str]) -> None:
+    def __init__(self, terms: list[str], near: list[int] | None = None) -> None:
+        """near: the terms that are also sought misspelled; all if not given."""
         self.terms = terms
+        sought = [terms[k] for k in (range(len(terms)) if near is None else near)]
         self.exact = {term: k for k, term in enumerate(terms)}
         self.root: dict = {}
-        for k, term in enumerate(terms):
+        for term in sought:
             node = self.root
             for c in term:
                 node = node.setdefault(c, {})
-            node[""] = k
-        long = [t for t in terms if len(t) >= MIN_FUZZY]
-        # one edit leaves the first or the last half of a term as it is
-        self.heads = {t[: len(t) // 2] for t in long}
-        self.tails = {t[-(len(t) // 2) :] for t in long}
-        self.sizes = sorted({len(x) for x in self.heads | self.tails})
-        self.seen: dict[str, list[tuple[int, int]]] = {}
+            node[""] = self.exact[term]
+        # one edit leaves the first or the last half of a term as it is: halves by the term's length
+        self.heads: dict[int, set[str]] = {}
+        self.tails: dict[int, set[str]] = {}
+        for t in sought:
+            if len(t) >= MIN_FUZZY:
+                self.heads.setdefault(len(t), set()).add(t[: len(t) // 2])
+                self.tails.setdefault(len(t), set()).add(t[-(len(t) // 2) :])
+        #: Words searched so far: those without a match, and the first match of the others.
+        self.without: set[str] = set()
+        self.hits: dict[str, tuple[int, int]] = {}
+
+    def found(self, words: list[str]) -> dict[str, tuple[int, int]]:
+        """The words that match, each with its first (term, edits)."""
+        distinct = set(words)
+        for word in distinct.difference(self.without, self.hits):
+            if matches := self.matches(word):
+                self.hits[word] = matches[0]
+            else:
+                self.without.add(word)
+        out = {word: self.hits[word] for word in distinct.intersection(self.hits)}
+        if len(self.without) + len(self.hits) > CACHE:
+            self.without.clear()
+            self.hits.clear()
+        return out
 
     def matches(self, word: str) -> list[tuple[int, int]]:
         """(term, edits) for all terms within reach of the word; an exact term stands alone."""
-        if (known := self.seen.get(word)) is None:
-            if len(self.seen) >= CACHE:
-                self.seen.clear()
-            known = self.seen[word] = self._search(word)
-        return known
-
-    def _search(self, word: str) -> list[tuple[int, int]]:
         if word in self.exact:
             return [(self.exact[word], 0)]
-        if len(word) < MIN_FUZZY or len(word) > 64 or not any(word[:n] in self.heads or word[-n:] in self.tails for n in self.sizes):
+        size = len(word)
+        if size < MIN_FUZZY:
             return []
+        for n in (size - 1, size, size + 1):
+            if n in self.heads and (word[: n // 2] in self.heads[n] or word[-(n // 2) :] in self.tails[n]):
+                return self._search(word)
+        return []
+
+    def _search(self, word: str) -> list[tuple[int, int]]:
         automaton = Automaton(word)
         found, todo = [], [(self.root, automaton.start)]
         while todo:
@@ -109,22 +132,24 @@ class Lexicon:
 
 def evidence(text: str, lexicon: Lexicon) -> tuple[int, list[tuple[int, int, bool, int]]]:
     """Words of the text, and for each match: term, edits, whether it is quoted, other matches in its window."""
-    words = _WORD.findall(text.lower())
-    if not any(lexicon.matches(word) for word in set(words)):
+    low_text = text.lower()
+    words = _WORD.findall(low_text)
+    known = lexicon.found(words)
+    if not known:
         return len(words), []
-    hits = [(k, match) for k, word in enumerate(words) for match in lexicon.matches(word)[:1]]
-    spans = [m.span() for m in _WORD.finditer(text.lower())] if len(text.lower()) == len(text) else None
-    marks = [m.start() for m in _QUOTES.finditer(text)]
+    hits = [(k, known[word]) for k, word in enumerate(words) if word in known]
+    marks = [m.start() for m in _QUOTES.finditer(low_text)]
+    spans = [m.span() for m in _WORD.finditer(low_text)] if marks else None
     at = [k for k, _ in hits]
     out = []
     for k, (term, edits) in hits:
         low, high = max(0, k - WINDOW), k + WINDOW
-        company = int(np.searchsorted(at, high, "right") - np.searchsorted(at, low, "left")) - 1
+        company = bisect_right(at, high) - bisect_left(at, low) - 1
         quoted = not REPORTING.isdisjoint(words[low:k])
-        if spans and marks and not quoted:
+        if spans and not quoted:
             begin, end = spans[low][0], spans[min(high, len(spans) - 1)][1]
-            before = int(np.searchsorted(marks, spans[k][0]) - np.searchsorted(marks, begin))
-            after = int(np.searchsorted(marks, end) - np.searchsorted(marks, spans[k][1]))
+            before = bisect_left(marks, spans[k][0]) - bisect_left(marks, begin)
+            after = bisect_left(marks, end) - bisect_left(marks, spans[k][1])
             quoted = before % 2 == 1 and after >= 1
         out.append((term, edits, quoted, company))
     return len(words), out
@@ -134,7 +159,7 @@ class Model:
     """terms with their share of toxic texts and rate in clean words; near with the same for near matches; a, b."""
 
     def __init__(self, told: dict) -> None:
-        self.told, self.lexicon = told, Lexicon(told["terms"])
+        self.told, self.lexicon = told, Lexicon(told["terms"], told.get("near"))
 
     def weight(self, term: int, edits: int, n: int) -> float:
         share, rate = self.told["share"][term], self.told["rate"][term]
@@ -146,7 +171,7 @@ class Model:
     def strength(self, text: str | None) -> float:
         n, hits = evidence(text or "", self.lexicon)
         best: dict[int, float] = {}
-        for term, edits, quoted, company in hits:
+        for term, edits, quoted, company in set(hits):
             worth = self.weight(term, edits, n) * (QUOTED_WORTH if quoted else 1.0) * (1 + COMPANY * min(3, company))
             best[term] = max(best.get(term, 0.0), worth)
         return sum(sorted(best.values(), reverse=True)[:MOST_COUNTED])
@@ -182,15 +207,23 @@ def _calibrated(strength: np.ndarray, toxic: np.ndarray) -> tuple[float, float]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> str:
-    """The model as JSON, from labelled rows of docs that ``learn`` marks.
+    """The model as JSON, from labelled rows of docs that ``learn`` marks (by the id alone).
 
-    Counts of words cover all those rows, equal texts once. Rows that repeat a label's doc_id count as toxic if
-    one of them is; null labels and texts are left out.
+    Of these, about SAMPLE_DOCS are drawn by a hash of the id; equal texts count once, as toxic if one of them is.
+    A doc_id with several labels is toxic if one of them says so; null labels and texts are left out. Only the
+    sample's labels and row numbers are broadcast.
     """
-    root = shared_dir(docs.sparkSession)
-    known = labels.where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).alias("toxic"))
-    rows = docs.where(learn & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(known, "id")
-    rows = written(rows.withColumn("h", F.xxhash64("text")).groupBy("h").agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic"), F.first("text").alias("text")), "labelled", root)
+    spark = docs.sparkSession
+    root = shared_dir(spark)
+    known = labels.where(learn & F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max((F.col(label_col) > 0).cast("int")).alias("toxic"))
+    known = written(known.withColumn("h", F.pmod(F.xxhash64(F.lit("toxicity"), F.col("id").cast("string")), F.lit(1 << 20))), "labels", root)
+    drawn = known.where(F.col("h") < int(min(1.0, SAMPLE_DOCS / max(1, known.count())) * (1 << 20))).select("id", "toxic")
+    texts = docs.where(learn & F.col(text_col).isNotNull()).select(F.col(id_col).alias("its_id"), F.col(text_col).alias("text"))
+    texts = texts.join(F.broadcast(drawn), F.col("its_id") == F.col("id")).select("toxic", "text", F.xxhash64("text").alias("h"), F.monotonically_increasing_id().alias("tag"))
+    texts = written(texts, "sample", root)
+    firsts = texts.groupBy("h").agg(F.min("tag").alias("tag"), F.max("toxic").alias("toxic")).select("tag", "toxic")
+    few = firsts.count() <= 2 * SAMPLE_DOCS  # unless rows repeat a labelled doc_id without bound
+    rows = written(texts.select("text", "tag").join(F.broadcast(firsts) if few else firsts, "tag").select("toxic", "text"), "labelled", root)
     totals = rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("docs"), F.sum(F.length("text")).alias("chars")).collect()
     docs_of = {r["toxic"]: r["docs"] for r in totals}
     n1, n0 = docs_of.get(1, 0), docs_of.get(0, 0)
@@ -206,8 +239,6 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id
         "terms": [r["word"] for r in terms], "share": [(r["k1"] + 0.5) / (n1 + 1) for r in terms], "rate": [(r["k0"] + 0.5) / clean_words for r in terms],
         "near_rate": [0.5 / clean_words for _ in terms], "a": math.log((n1 + 0.5) / (n0 + 0.5)), "b": 1.0,
     }
-    share = min(1.0, SAMPLE_DOCS / max(1, n1 + n0))
-    sample = rows.where(F.pmod(F.col("h"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
     text = json.dumps(told)
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,8 +250,10 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id
                         seen[term] = seen.get(term, 0) + 1
         yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int64()), pa.array(list(seen.values()), pa.int64())], ["term", "n"])
 
-    for row in map_arrow(sample.select("toxic", "text"), near, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():
-        told["near_rate"][row["term"]] = (row["n"] / share + 0.5) / clean_words
+    for row in map_arrow(rows, near, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():
+        told["near_rate"][row["term"]] = (row["n"] + 0.5) / clean_words
+    weigh = Model(told).weight
+    told["near"] = [k for k in range(len(told["terms"])) if weigh(k, 1, TYPICAL_WORDS) >= LEAST_NEAR]
     text = json.dumps(told)
 
     def strengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,7 +262,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id
             yield pa.RecordBatch.from_arrays([batch[0], pa.array([model.strength(x) for x in batch[1].to_pylist()], pa.float64())], ["toxic", "x"])
 
     if n1 and n0:
-        got = map_arrow(sample.select("toxic", "text"), strengths, "toxic int, x double").collect()
+        got = map_arrow(rows, strengths, "toxic int, x double").collect()
         told["a"], told["b"] = _calibrated(np.array([r["x"] for r in got]), np.array([float(r["toxic"]) for r in got]))
     return json.dumps(told)
 
