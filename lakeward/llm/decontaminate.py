@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakeward.llm.common import shared_dir, written
+from lakeward.llm.common import remove, shared_dir, written
 
 #: ASCII characters that separate words, before lower-casing.
 BREAK = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -104,7 +104,8 @@ def phrase_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     """
     index = build_index(docs, benchmark, id_col, text_col, item_col)
     places = candidates(index, window).join(index.items.select("item", "item_id", F.col("words").alias("its")), "item")
-    places = written(places.groupBy("key").agg(F.collect_list(F.struct("item_id", "shift", "its")).alias("places")), "candidates", index.root)
+    places = written(places.groupBy("key").agg(F.collect_list(F.struct("item_id", "shift", "its")).alias("places")), "candidates")
+    remove(docs.sparkSession, index.root)  # only the places are read from here on
     size = places.select(F.sum(F.octet_length(F.to_json("places")))).first()[0] or 0
     texts = docs.select(F.col(id_col).alias("doc_id"), _key(F.col(id_col)).alias("its_key"), words(F.col(text_col)).alias("own"))
     right = F.broadcast(places) if size <= BROADCAST_BYTES else places
