@@ -30,6 +30,8 @@ PATTERNS = {
 TOKEN = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
 CONTEXT = 100
 MIN_SEEDS, ROUNDS, CONFIDENT = 3, 4, 0.8
+#: Characters that a token needs to be taken for an identifier: numbers in running text are mostly shorter.
+LEAST = 5
 BROADCAST_ROWS = 50_000
 _STEP = 256
 
@@ -119,7 +121,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         start, end = x["start"] + lead, F.greatest(x["end"] - tail, x["start"] + lead)
         return F.struct(F.lit(None).cast("string").alias("kind"), start.alias("start"), end.alias("end"), F.substr(x["m"], lead + 1, end - start).alias("m"))
 
-    free = F.filter(F.transform("tokens", core), lambda x: (x["end"] > x["start"]) & ~F.exists("all", lambda y: (y["start"] < x["end"]) & (y["end"] > x["start"])))
+    free = F.filter(F.transform("tokens", core), lambda x: (x["end"] - x["start"] >= LEAST) & ~F.exists("all", lambda y: (y["start"] < x["end"]) & (y["end"] > x["start"])))
     told = lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"), F.lower(x["m"]).alias("instance"), _around(F.col("text"), x["start"], x["end"]).alias("patterns"))
     bare = lambda kind: F.transform(kind, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))).alias(kind)
     occurrences = F.when(F.col("tokens").isNotNull(), F.transform(F.concat("all", free), told))
