@@ -32,10 +32,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a window of a benchmark item, with all rows of their doc_id."""
-    found = decontaminate.contamination(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
-    hit = found.where("contaminated").select(F.col("doc_id").alias("hit_id")).distinct()
-    return docs.join(hit, F.col("doc_id").eqNullSafe(F.col("hit_id")), "left_anti")
+    """Drops rows that hold a window of a benchmark item, each by its own text: doc_ids may be null or repeat.
+
+    Texts are looked up by a hash; texts that share one are still compared word by word.
+    """
+    keyed = docs.select(F.struct("*").alias("doc"), "text", F.xxhash64("text").alias("key"))
+    found = decontaminate.phrase_matches(keyed, table(spark, sf_dir, "benchmark"), id_col="key", keep=["doc"])
+    return found.where(F.size("hits") == 0).select("doc.*")
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -95,22 +95,23 @@ def candidates(index: Index, window: int = WINDOW) -> DataFrame:
     return met.join(_bounded(wanted), "item").where(both).select("key", "item", "shift")
 
 
-def phrase_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
+def phrase_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", keep: list[str] | None = None) -> DataFrame:
     """One row for each document: its id, n_words, hits (distinct positions of words in a window's occurrence) and items (sorted).
 
     A null text has no words, an item without words no window. Items that repeat an item_id count once. Rows
-    that repeat a doc_id are each matched by their own text; null doc_ids are matched too. Other columns are
-    ignored; empty tables give no matches.
+    that repeat a doc_id are each matched by their own text; null doc_ids are matched too. Columns in keep
+    follow as they are, others are ignored; empty tables give no matches.
     """
+    kept = [F.col(c) for c in keep or []]
     index = build_index(docs, benchmark, id_col, text_col, item_col)
     places = candidates(index, window).join(index.items.select("item", "item_id", F.col("words").alias("its")), "item")
     places = written(places.groupBy("key").agg(F.collect_list(F.struct("item_id", "shift", "its")).alias("places")), "candidates")
     remove(docs.sparkSession, index.root)  # only the places are read from here on
     size = places.select(F.sum(F.octet_length(F.to_json("places")))).first()[0] or 0
-    texts = docs.select(F.col(id_col).alias("doc_id"), _key(F.col(id_col)).alias("its_key"), words(F.col(text_col)).alias("own"))
+    texts = docs.select(F.col(id_col).alias("doc_id"), _key(F.col(id_col)).alias("its_key"), words(F.col(text_col)).alias("own"), *kept)
     right = F.broadcast(places) if size <= BROADCAST_BYTES else places
     joined = texts.join(right, F.col("its_key") == F.col("key"), "left")
-    joined = joined.select("doc_id", F.size("own").alias("n_words"), "places", F.when(F.col("places").isNotNull(), F.transform("own", lower_ascii)).alias("w"))
+    joined = joined.select("doc_id", F.size("own").alias("n_words"), "places", F.when(F.col("places").isNotNull(), F.transform("own", lower_ascii)).alias("w"), *kept)
 
     def starts(x: Column) -> Column:
         n = F.least(F.size(x["its"]), F.lit(window))
@@ -119,11 +120,11 @@ def phrase_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
         return F.filter(F.sequence(F.lit(0), F.size(x["its"]) - n), lambda s: inside(s) & same(s))
 
     found = F.transform("places", lambda x: F.struct(x["item_id"].alias("item_id"), x["shift"].alias("shift"), F.least(F.size(x["its"]), F.lit(window)).alias("n"), starts(x).alias("starts")))
-    matched = joined.select("doc_id", "n_words", F.filter(found, lambda x: F.size(x["starts"]) > 0).alias("m"))
+    matched = joined.select("doc_id", "n_words", F.filter(found, lambda x: F.size(x["starts"]) > 0).alias("m"), *kept)
     positions = F.flatten(F.transform("m", lambda x: F.flatten(F.transform(x["starts"], lambda s: F.sequence(x["shift"] + s, x["shift"] + s + x["n"] - 1)))))
     none, no_item = F.array().cast("array<int>"), F.array().cast("array<string>")
     return matched.select(
-        F.col("doc_id").alias(id_col), "n_words", F.coalesce(F.array_sort(F.array_distinct(positions)), none).alias("hits"), F.coalesce(F.sort_array(F.array_distinct(F.transform("m", lambda x: x["item_id"]))), no_item).alias("items")
+        F.col("doc_id").alias(id_col), "n_words", F.coalesce(F.array_sort(F.array_distinct(positions)), none).alias("hits"), F.coalesce(F.sort_array(F.array_distinct(F.transform("m", lambda x: x["item_id"]))), no_item).alias("items"), *kept
     )
 
 

@@ -59,6 +59,14 @@ def test_contaminated_documents_go(spark, docs):
     assert got.columns == docs.columns and sorted((r["doc_id"] for r in got.collect()), key=str) == want and 9001 not in want
 
 
+def test_rows_of_one_doc_id_are_judged_one_by_one(spark, docs):
+    passage = "start " + spark.read.parquet(f"{DATA}/benchmark.parquet").first()["text"]
+    some = spark.createDataFrame([(k, text, "en", source, 0) for k in (7, None) for text, source in ((LONG, "clean"), (passage, "hit"), (None, "null"), (LONG, "copy"))], docs.schema)
+    got = p.decontaminated(spark, some.repartition(3), DATA)
+    want = [(k, s) for k in (7, None) for s in ("clean", "copy", "null")]
+    assert sorted(((r["doc_id"], r["source"]) for r in got.collect()), key=str) == sorted(want, key=str)
+
+
 def test_tokens_of_all_rows(spark, docs):
     tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     some = docs.limit(30).unionByName(docs.limit(5))
