@@ -5,15 +5,20 @@ Each source gets a share of the mix by weight, limited to a multiple of its size
 the rest, f = r - floor(r), each document has inclusion probability f, and documents are ranked by their
 Pareto value q = (u / (1 - u)) / (f / (1 - f)), u a hash of the doc_id. Within a source the sample is a
 prefix of that order, fixed by size: as many words as the target leaves. A weight column makes the inclusion
-probabilities unequal within a source.
+probabilities unequal within a source. The gap that a document too large for it leaves is filled by later
+documents of the order that fit, until none is left that does.
 
 No source is ordered as a whole. Ranks are dealt into BINS bins; summed bins locate the one where the target
-falls, and only rows of that bin and the few after it are ordered. The gap that a document too large for it
-leaves is filled by the next FILL documents of the order that fit.
+falls, and only rows of that bin and of the few after it are ordered. What they leave of the target is sought
+in the same way among the rows after them that still fit, and so on.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from itertools import count
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -21,8 +26,8 @@ from lakeward.llm.common import shared_dir, words_count, written
 
 #: Bins of the ranking: at 10**10 documents of one source, about 150,000 rows are ordered together.
 BINS = 1 << 16
-#: Documents after the boundary that may fill the remaining gap.
-FILL = 64
+#: Bins after the boundary are ordered along with it up to this many documents of a source at a time.
+AT_ONCE = 4096
 
 
 def uniform(key: Column, seed: int) -> Column:
@@ -79,13 +84,14 @@ def mix(
     )
     sized = written(rows, "sized", root)
     plan = written(_plan(source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, total_share, most)), "plan", root)
-    ranked = _with(sized, plan, spark).withColumn("bin", F.least(F.floor(_pareto(F.col("key"), seed) * BINS), F.lit(BINS - 1)))
-    bounds = written(_bounds(ranked.select("source", "bin", "size", "rest")), "bounds", root)
-    placed = _with(ranked, bounds, spark).withColumn("open", F.col("bin").between(F.col("lo"), F.col("hi")))
-    chosen = _chosen(placed.where("open").select("source", _pareto(F.col("key"), seed).alias("v"), "key", "size", "tag", "base", "rest"))
-    out = ["doc", "size", "source_size", "target", "copies"]
-    clear = placed.where("not coalesce(open, false)").withColumn("copies", F.col("whole") + F.coalesce(F.col("bin") < F.col("lo"), F.lit(False)).cast("long"))
+    ranked = _with(sized, plan, spark).withColumn("v", _pareto(F.col("key"), seed)).withColumn("bin", F.least(F.floor(F.col("v") * BINS), F.lit(BINS - 1)))
+    ranges, chosen = _sampled(ranked.where("rest > 0 and size > 0").select("source", "bin", "v", "key", "size", "tag", "rest"), root)
+    placed = _with(ranked.drop("v", "rest"), ranges, spark)
+    within = lambda test: F.coalesce(F.exists("ranges", lambda r: (F.col("size") > 0) & (F.col("size") <= r["gap"]) & test(r)), F.lit(False))
+    placed = placed.withColumn("open", within(lambda r: F.col("bin").between(r["lo"], r["hi"])))
+    clear = placed.where("not open").withColumn("copies", F.col("whole") + within(lambda r: (F.col("bin") > r["at"]) & (F.col("bin") < r["lo"])).cast("long"))
     close = placed.where("open").join(chosen, "tag", "left").withColumn("copies", F.col("whole") + F.coalesce("one", F.lit(0)))
+    out = ["doc", "size", "source_size", "target", "copies"]
     return clear.select(*out).unionByName(close.select(*out)).withColumn("taken", F.col("copies") * F.col("size"))
 
 
@@ -114,37 +120,63 @@ def _pareto(key: Column, seed: int) -> Column:
     return F.when(F.col("f") > 0, q / (q + scale)).otherwise(1.0)
 
 
-def _bounds(ranked: DataFrame) -> DataFrame:
-    """For each source that samples: the bin in which the sample ends, words before it, and the last bin that may fill."""
+def _sampled(rows: DataFrame, root: str) -> tuple[DataFrame, DataFrame]:
+    """In the order of each source, every row that fits in what the rows before it leave of rest.
+
+    Gives the ranges of each source, and the tags taken of those rows that were ordered. A range holds rows of
+    up to gap words: those in bins between at and lo are all taken, those from lo to hi were ordered. A round
+    adds a range to each source that still has rows that fit; a row passed over never fits again.
+    """
+    spark = rows.sparkSession
+    rows = written(rows, "ranked", root)
+    state = written(rows.groupBy("source").agg(F.lit(-1).cast("long").alias("at"), F.first("rest").alias("gap")), "start", root)
+    rows = rows.drop("rest")
+    found, taken = [], []
+    for k in count():
+        bounds = written(_bounds(_with(rows, state, spark).where("bin > at and size <= gap")), f"bounds{k}", root)
+        if k and bounds.isEmpty():
+            break
+        near = _with(rows, bounds, spark).where("bin between lo and hi and size <= gap").select("source", "v", "key", "size", "tag", "left")
+        filled = written(near.groupBy("source").applyInArrow(_fill, "source string, gap double, tags array<bigint>"), f"filled{k}", root)
+        found.append(bounds)
+        taken.append(filled)
+        state = written(_with(bounds.select("source", F.col("hi").alias("at")), filled.select("source", "gap"), spark).where("gap >= 1"), f"state{k}", root)
+        if state.isEmpty():
+            break
+    ranges = reduce(DataFrame.unionByName, found).groupBy("source").agg(F.collect_list(F.struct("at", "lo", "hi", "gap")).alias("ranges"))
+    tags = reduce(DataFrame.unionByName, taken).select(F.explode("tags").alias("tag"), F.lit(1).alias("one"))
+    return written(ranges, "ranges", root), tags
+
+
+def _bounds(fitting: DataFrame) -> DataFrame:
+    """For each source: at, gap, the bin lo that overshoots the gap, the last bin hi to be ordered with it, and what the bins before lo leave."""
     order = Window.partitionBy("source").orderBy("bin")
     one = Window.partitionBy("source")
-    bins = ranked.where("rest > 0").groupBy("source", "bin").agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("docs"), F.first("rest").alias("rest"))
+    bins = fitting.groupBy("source", "bin").agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("docs"), F.first("at").alias("at"), F.first("gap").alias("gap"))
     return (
         bins.withColumn("through", F.sum("words").over(order))
-        .withColumn("docs_before", F.sum("docs").over(order) - F.col("docs"))
-        .withColumn("lo", F.min(F.when(F.col("through") > F.col("rest"), F.col("bin"))).over(one))
-        .withColumn("limit", F.sum(F.when(F.col("bin") <= F.col("lo"), F.col("docs"))).over(one) + FILL)
+        .withColumn("lo", F.coalesce(F.min(F.when(F.col("through") > F.col("gap"), F.col("bin"))).over(one), F.lit(BINS)))
+        .withColumn("ordered", F.sum(F.when(F.col("bin") >= F.col("lo"), F.col("docs"))).over(order))
         .groupBy("source")
         .agg(
-            F.coalesce(F.first("lo"), F.lit(BINS)).alias("lo"),
-            F.coalesce(F.max(F.when(F.col("docs_before") < F.col("limit"), F.col("bin"))), F.lit(BINS)).alias("hi"),
-            F.coalesce(F.sum(F.when(F.col("bin") < F.col("lo"), F.col("words"))), F.lit(0)).alias("base"),
+            F.first("at").alias("at"),
+            F.first("gap").alias("gap"),
+            F.first("lo").alias("lo"),
+            F.coalesce(F.max(F.when((F.col("bin") == F.col("lo")) | (F.col("ordered") <= AT_ONCE), F.col("bin"))), F.lit(BINS)).alias("hi"),
+            (F.first("gap") - F.coalesce(F.sum(F.when(F.col("bin") < F.col("lo"), F.col("words"))), F.lit(0))).alias("left"),
         )
     )
 
 
-def _chosen(rows: DataFrame) -> DataFrame:
-    """tags of rows near the boundary that are sampled: the prefix of the order, then those that fill the gap."""
-    order = Window.partitionBy("source").orderBy("v", "key", "size", "tag")
-    seen = rows.withColumn("through", F.col("base") + F.sum("size").over(order)).withColumn("inside", F.col("through") <= F.col("rest"))
-    seen = seen.withColumn("after", F.sum(F.when(F.col("inside"), 0).otherwise(1)).over(order))
-    seen = seen.withColumn("gap", F.col("rest") - F.coalesce(F.max(F.when(F.col("inside"), F.col("through"))).over(order), F.col("base")))
-    near = seen.where(f"not inside and after <= {FILL}").groupBy("source").agg(F.max("gap").alias("gap"), F.sort_array(F.collect_list(F.struct("after", "size", "tag"))).alias("next"))
-    start = F.struct(F.col("gap").alias("gap"), F.array().cast("array<bigint>").alias("tags"))
-    filled = F.aggregate(
-        "next", start, lambda s, x: F.when(x["size"] <= s["gap"], F.struct((s["gap"] - x["size"]).alias("gap"), F.concat(s["tags"], F.array(x["tag"])).alias("tags"))).otherwise(s)
-    )
-    return seen.where("inside").select("tag").unionByName(near.select(F.explode(filled["tags"]).alias("tag"))).withColumn("one", F.lit(1))
+def _fill(rows: pa.Table) -> pa.Table:
+    """The tags of one source that are taken in order, each if it fits, and the gap that remains."""
+    rows = rows.sort_by([(c, "ascending") for c in ("v", "key", "size", "tag")])
+    gap, tags = rows["left"][0].as_py(), []
+    for size, tag in zip(rows["size"].to_pylist(), rows["tag"].to_pylist(), strict=True):
+        if size <= gap:
+            gap -= size
+            tags.append(tag)
+    return pa.table([rows["source"].slice(0, 1), pa.array([gap], pa.float64()), pa.array([tags], pa.list_(pa.int64()))], ["source", "gap", "tags"])
 
 
 def mixed(docs: DataFrame, seed: int = 7, **parameters: object) -> DataFrame:

@@ -241,6 +241,29 @@ def test_mixing(spark):
     assert mixing.mix(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("at_once", [4096, 1])
+def test_documents_far_beyond_the_boundary_fill_the_gap(spark, monkeypatch, at_once):
+    monkeypatch.setattr(mixing, "AT_ONCE", at_once)
+    data = [(s, s * 5000 + k, n) for s in range(8) for k, n in enumerate([30_000, 9000, 500, 70, 3, 1] + [50] * 1200 + [0] * 100)]
+    text = F.when(F.col("n") > 0, F.array_join(F.array_repeat(F.lit("w"), F.col("n")), " "))
+    df = spark.createDataFrame(data, "source long, doc_id long, n int").select("doc_id", text.alias("text"), "source").repartition(3)
+    got = mixing.mix(df, weights=(1,), total_share=0.25, keep=["doc_id", "source"]).select("doc.*", "size", "target", "copies").collect()
+    for s in range(8):
+        mine = [r for r in got if r["source"] == s]
+        f = mine[0]["target"] / sum(r["size"] for r in mine)
+        left, want = mine[0]["target"], set()
+
+        def rank(r, f=f):
+            u = (int(hashlib.md5(f"7:{r['doc_id']}".encode()).hexdigest()[:13], 16) + 0.5) / (1 << 52)
+            return u * (1 - f) / (u * (1 - f) + (1 - u) * f)
+
+        for r in sorted(mine, key=rank):
+            if 0 < r["size"] <= left:
+                left -= r["size"]
+                want.add(r["doc_id"])
+        assert {r["doc_id"] for r in mine if r["copies"]} == want and left < 50
+
+
 def test_inclusion_follows_the_weights(spark):
     df = spark.range(6000).select(F.col("id").alias("doc_id"), F.lit("w w").alias("text"), F.lit("s").alias("source"), F.when(F.col("id") % 2 == 0, 3.0).otherwise(1.0).alias("w"))
     got = mixing.mix(df, total_share=0.2, weight_col="w").select("doc.doc_id", "copies").where("copies > 0").collect()
