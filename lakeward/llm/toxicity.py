@@ -3,7 +3,7 @@
 Terms come from labelled texts: words far commoner in toxic ones. The lexicon is a trie. For each word of a
 text an automaton that accepts everything within one edit of it runs along the trie, so that misspelled terms
 are found without listing their variants. A term counts by how much likelier a toxic text holds it than a
-clean text of that length; near matches count less, the less the more they occur in clean texts. A window of
+clean text of that length; near matches count less, the less the more that variant occurs in clean texts. A window of
 words around each match weighs it: quotation marks and reporting words speak for quotation, other matches
 nearby for abuse. The sum is calibrated to a probability on a bounded sample of labelled rows.
 """
@@ -30,7 +30,7 @@ MIN_FUZZY, EDITS = 4, 1
 WINDOW, MOST_COUNTED = 8, 6
 #: A toxic text holds a misspelled term this much less often than the term itself.
 NEAR_SHARE, QUOTED_WORTH, COMPANY = 0.1, 0.25, 0.15
-#: Terms whose near matches weigh less than this in a text of so many words are sought as they are spelled only.
+#: The calibration, and it alone, leaves out near matches of terms that all variants together make worth less than this in a text of so many words.
 LEAST_NEAR, TYPICAL_WORDS = 2.0, 300
 THRESHOLD = 0.7
 CACHE = 1_000_000
@@ -130,8 +130,8 @@ class Lexicon:
         return sorted(found)
 
 
-def evidence(text: str, lexicon: Lexicon) -> tuple[int, list[tuple[int, int, bool, int]]]:
-    """Words of the text, and for each match: term, edits, whether it is quoted, other matches in its window."""
+def evidence(text: str, lexicon: Lexicon) -> tuple[int, list[tuple[int, str | None, bool, int]]]:
+    """Words of the text, and for each match: term, the word if misspelled, whether it is quoted, other matches in its window."""
     low_text = text.lower()
     words = _WORD.findall(low_text)
     known = lexicon.found(words)
@@ -151,28 +151,31 @@ def evidence(text: str, lexicon: Lexicon) -> tuple[int, list[tuple[int, int, boo
             before = bisect_left(marks, spans[k][0]) - bisect_left(marks, begin)
             after = bisect_left(marks, end) - bisect_left(marks, spans[k][1])
             quoted = before % 2 == 1 and after >= 1
-        out.append((term, edits, quoted, company))
+        out.append((term, words[k] if edits else None, quoted, company))
     return len(words), out
 
 
 class Model:
-    """terms with their share of toxic texts and rate in clean words; near with the same for near matches; a, b."""
+    """terms with their share of toxic texts and rate in clean words; variants found there with both, and the rate of others (unseen); a, b."""
 
     def __init__(self, told: dict) -> None:
         self.told, self.lexicon = told, Lexicon(told["terms"], told.get("near"))
 
-    def weight(self, term: int, edits: int, n: int) -> float:
+    def weight(self, term: int, variant: str | None, n: int) -> float:
         share, rate = self.told["share"][term], self.told["rate"][term]
-        if edits:
-            share, rate = share * NEAR_SHARE, max(rate, self.told["near_rate"][term])
+        if variant is not None:
+            share, rate = share * NEAR_SHARE, max(rate, self.told["unseen"][term])
+            if variant in self.told["variants"]:
+                excess, its_rate = self.told["variants"][variant]
+                share, rate = min(share, excess), max(rate, its_rate)
         by_chance = -math.expm1(-rate * max(n, 1))
         return math.log((share + (1 - share) * by_chance) / by_chance)
 
     def strength(self, text: str | None) -> float:
         n, hits = evidence(text or "", self.lexicon)
         best: dict[int, float] = {}
-        for term, edits, quoted, company in set(hits):
-            worth = self.weight(term, edits, n) * (QUOTED_WORTH if quoted else 1.0) * (1 + COMPANY * min(3, company))
+        for term, variant, quoted, company in set(hits):
+            worth = self.weight(term, variant, n) * (QUOTED_WORTH if quoted else 1.0) * (1 + COMPANY * min(3, company))
             best[term] = max(best.get(term, 0.0), worth)
         return sum(sorted(best.values(), reverse=True)[:MOST_COUNTED])
 
@@ -234,10 +237,10 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id
     g2 = 2 * (k1 * F.log(k1 / expected) + F.when(k0 > 0, k0 * F.log(k0 / (k1 + k0 - expected))).otherwise(0.0))
     good = counts.where((k1 >= MIN_TOXIC) & (k1 / (k1 + k0) >= MIN_PRECISION)).withColumn("g2", g2).where(F.col("g2") >= MIN_RATIO)
     terms = good.orderBy(F.desc("g2"), "word").limit(MOST_TERMS).collect() if n1 and n0 else []
-    clean_words = max(1.0, sum(r["chars"] for r in totals if not r["toxic"]) / 6.0)
+    clean_words, toxic_words = (max(1.0, sum(r["chars"] for r in totals if r["toxic"] == k) / 6.0) for k in (0, 1))
     told = {
         "terms": [r["word"] for r in terms], "share": [(r["k1"] + 0.5) / (n1 + 1) for r in terms], "rate": [(r["k0"] + 0.5) / clean_words for r in terms],
-        "near_rate": [0.5 / clean_words for _ in terms], "a": math.log((n1 + 0.5) / (n0 + 0.5)), "b": 1.0,
+        "unseen": [0.5 / clean_words for _ in terms], "variants": {}, "a": math.log((n1 + 0.5) / (n0 + 0.5)), "b": 1.0,
     }
     text = json.dumps(told)
 
@@ -245,16 +248,25 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id
         model, seen = _model(text), {}
         for batch in batches:
             for toxic, doc in zip(batch[0].to_pylist(), batch[1].to_pylist(), strict=True):
-                if not toxic:
-                    for term in {term for term, edits, _, _ in evidence(doc, model.lexicon)[1] if edits}:
-                        seen[term] = seen.get(term, 0) + 1
-        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int64()), pa.array(list(seen.values()), pa.int64())], ["term", "n"])
-
-    for row in map_arrow(rows, near, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():
-        told["near_rate"][row["term"]] = (row["n"] + 0.5) / clean_words
-    weigh = Model(told).weight
-    told["near"] = [k for k in range(len(told["terms"])) if weigh(k, 1, TYPICAL_WORDS) >= LEAST_NEAR]
-    text = json.dumps(told)
+                for found in {(variant, term) for term, variant, _, _ in evidence(doc, model.lexicon)[1] if variant}:
+                    seen.setdefault(found, [0, 0])[toxic] += 1
+        variants, terms = [x for x, _ in seen], [x for _, x in seen]
+        yield pa.RecordBatch.from_arrays([pa.array(variants, pa.string()), pa.array(terms, pa.int64()), *(pa.array([x[k] for x in seen.values()], pa.int64()) for k in (0, 1))], ["variant", "term", "k0", "k1"])
+
+    found = map_arrow(rows, near, "variant string, term long, k0 long, k1 long").groupBy("variant", "term").agg(F.sum("k0").alias("k0"), F.sum("k1").alias("k1"))
+    near_docs = [0] * len(terms)
+    for row in found.where("k0 > 0").collect():
+        near_docs[row["term"]] += row["k0"]
+        # toxic texts that hold it clearly beyond what clean ones lead to expect
+        expected = row["k0"] * toxic_words / clean_words
+        excess = max(0.0, row["k1"] - expected - 2 * math.sqrt(expected + 1))
+        told["variants"][row["variant"]] = ((excess + 0.5) / (n1 + 1), (row["k0"] + 0.5) / clean_words)
+        # variants found once tell how often one turns up that was not found
+        told["unseen"][row["term"]] += (row["k0"] == 1) / clean_words
+    # the calibration does not lean on variants that its own rows have told: all variants of a term have one rate there
+    plain = told | {"unseen": [(n + 0.5) / clean_words for n in near_docs], "variants": {}}
+    weigh = Model(plain).weight
+    text = json.dumps(plain | {"near": [k for k in range(len(terms)) if weigh(k, "", TYPICAL_WORDS) >= LEAST_NEAR]})
 
     def strengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _model(text)

@@ -342,3 +342,11 @@ def test_toxicity(spark):
     assert toxicity.score(odd, model).count() == 2
     empty = toxicity.fit(docs.limit(0), labels, F.lit(True))
     assert 0 <= toxicity.Model(__import__("json").loads(empty)).score("idiot") <= 1
+
+
+def test_misspelled_terms_beside_a_corpus_word(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{n}.parquet") for n in ("documents", "labels"))
+    model = toxicity.fit(docs.where("doc_id < 3000").select("doc_id", "text"), labels.where("doc_id < 3000"), ~held(F.col("doc_id"), 3, 1))
+    told = toxicity.Model(__import__("json").loads(model))
+    assert "oron" in told.told["variants"] and told.score("an oron is here") < 0.5
+    assert told.score("you m0ron") >= 0.7 and told.score("you morron and go away") >= 0.7
