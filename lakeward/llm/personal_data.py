@@ -1,14 +1,20 @@
 """Personal data by bootstrapped contextual extraction. DataFrame operations only.
 
-Base patterns find e-mail addresses, IP addresses, card numbers and telephone numbers. These entities seed
-the method: the words around them form lexical patterns, and a bipartite graph links patterns to all
-identifier-shaped tokens (those with a digit or @) that they surround anywhere in the corpus. Scores pass
-between both sides: a pattern is as good as the share of trusted instances among all that it extracts, an
-instance as good as the patterns that extract it, taken together. Tokens that no base pattern matches become
-findings of a seed's kind where both scores are high. Base findings always stay.
+A text is read as units: tokens that hold a digit or @, with the tokens of digits that follow them. Base
+patterns find e-mail addresses, IP addresses, card numbers and telephone numbers; every match lies within one
+unit. Units that are such a match as a whole seed the method, and so do strings of the shape of generated
+secrets (long, of letters and digits), a kind that has no base pattern.
+
+The words around seeds form lexical patterns, and a bipartite graph links patterns to all units without a base
+match that they surround anywhere in the corpus. Scores pass between both sides: a pattern is as good as the
+share of seeds and confident instances among all that it extracts; an instance is as good as the best pattern
+that extracts it, less so if it is far shorter than all seeds of the kind. Units become findings of a seed's
+kind where a confident pattern extracts a confident instance; so do the seeds of secrets, which are reported
+in no other case. Base findings always stay.
 
 The graph has one edge for each distinct pattern and instance, aggregated before it is shuffled, so that a
-token or a context that fills a third of all rows is one edge.
+unit or a context that fills a third of all rows is one edge. A text is walked once: split pieces carry the
+neighbours of units, so that time grows with its length.
 """
 
 from __future__ import annotations
@@ -19,43 +25,57 @@ from pyspark.sql import functions as F
 from lakeward.llm.common import shared_dir, written
 
 KINDS = ("email", "ip", "card", "phone")
+SECRET = "secret"
 #: A run can begin where no character of its class precedes it, or where the last match ended; so no start is
-#: tried inside a run, which keeps long runs linear. The matches are those of the plain patterns.
+#: tried inside a run, which keeps long runs linear. The matches are those of the plain patterns. Repeated
+#: groups are possessive: Java matches other ones recursively.
 PATTERNS = {
-    "email": r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(\.[A-Za-z0-9-]++)+",
-    "ip": r"(?:(?<![0-9])|\G)[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)",
-    "card": r"(?:(?<![0-9])|\G)[0-9]([\x20-]?[0-9])++",
+    "email": r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
+    "ip": r"(?:(?<![0-9])|\G)[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
+    "card": r"(?:(?<![0-9])|\G)[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-TOKEN = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
-CONTEXT = 100
+#: A token with a digit or @, and tokens that continue it as cards and telephone numbers may.
+UNIT = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+(?:(?<=[0-9().-])\x20[\x20().-]*+[0-9]\S*+)*+"
+#: What precedes an identifier within its unit: punctuation, a name with = or :, and more punctuation.
+LEAD = r"^[^\p{L}\p{N}+]*+(?:\p{L}[\p{L}\p{N}_.-]*+[=:]++[^\p{L}\p{N}+]*+)?"
+TAIL = r"(?<![^\p{L}\p{N}])[^\p{L}\p{N}]++$"
+#: The shape of a seed of secrets: characters, and letters and digits that it needs at least.
+SECRET_CHARS, SECRET_OF_EACH = 20, 4
 MIN_SEEDS, ROUNDS, CONFIDENT = 3, 4, 0.8
-#: Characters that a token needs to be taken for an identifier: numbers in running text are mostly shorter.
-LEAST = 5
+#: An instance of less than the shortest seed's length over this loses trust in proportion.
+SHORTER = 3
+#: Longer words of a pattern, and longer instances, are told apart by a digest: nothing is cut off.
+LONG_WORD, LONG_INSTANCE = 48, 256
+#: Patterns up to this many are broadcast: rows of at most 450 bytes, as their words are bounded. More are joined by shuffle.
 BROADCAST_ROWS = 50_000
 _STEP = 256
+_SPAN = "array<struct<start:int,end:int,m:string>>"
 
 
-def spans(text: Column, pattern: str) -> Column:
-    """array<struct<start,end,m>> of all matches, in code points; text and matches alternate, so lengths give offsets."""
-    between, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pairs = F.zip_with(found, F.slice(between, 1, F.greatest(F.size(found), F.lit(0))), lambda m, gap: F.struct(F.length(gap).alias("gap"), m.alias("m")))
-    kind = "array<struct<start:int,end:int,m:string>>"
-    empty = lambda at: F.struct(at.alias("at"), F.array().cast(kind).alias("out"))
+def _let(value: Column, body) -> Column:  # noqa: ANN001
+    """body of value, with value computed once."""
+    return F.transform(F.array(value), body)[0]
 
-    def one(state: Column, x: Column) -> Column:
-        start = state["at"] + x["gap"]
-        end = start + F.length(x["m"])
-        return F.struct(end.alias("at"), F.concat(state["out"], F.array(F.struct(start.alias("start"), end.alias("end"), x["m"].alias("m")))).alias("out"))
 
-    def several(state: Column, k: Column, rows: Column) -> Column:
-        part = F.aggregate(F.slice(rows, k * _STEP + 1, _STEP), empty(state["at"]), one)
-        return F.transform(F.array(part), lambda p: F.struct(p["at"].alias("at"), F.concat(state["out"], p["out"]).alias("out")))[0]
+def _before(lengths: Column) -> Column:
+    """For each of the lengths the sum of those before it, by blocks, so that nothing is appended to."""
+    add = lambda x: F.aggregate(x, F.lit(0), lambda total, n: total + n)
+    ahead = lambda x: F.transform(x, lambda n, i: add(F.slice(x, 1, i)))
+    blocks = F.transform(F.sequence(F.lit(0), F.floor(F.size(lengths) / _STEP).cast("int")), lambda k: F.slice(lengths, k * _STEP + 1, _STEP))
+    return _let(blocks, lambda x: F.flatten(F.zip_with(x, _let(F.transform(x, add), ahead), lambda block, start: F.transform(ahead(block), lambda n: start + n))))
 
-    # in steps, so that appending costs far less than the square of the number of matches
-    return F.transform(
-        F.array(pairs), lambda rows: F.aggregate(F.sequence(F.lit(0), F.floor((F.size(rows) - 1) / _STEP).cast("int")), empty(F.lit(0)), lambda s, k: several(s, k, rows))["out"]
-    )[0]
+
+def _running(rows: Column) -> Column:
+    """From array<struct<gap,m>>, gaps in code points: array<struct<start,end,m>>."""
+    sums = _let(F.transform(rows, lambda x: x["gap"] + F.length(x["m"])), _before)
+    return F.zip_with(rows, sums, lambda x, at: F.struct((at + x["gap"]).alias("start"), (at + x["gap"] + F.length(x["m"])).alias("end"), x["m"].alias("m")))
+
+
+def _paired(text: Column, pattern: str) -> Column:
+    """array<struct<gap,m>>: all matches, each with the length of the text between it and the one before, in code points."""
+    found, between = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
+    return _let(found, lambda m: F.zip_with(m, F.slice(between, 1, F.size(m)), lambda one, gap: F.struct(F.length(gap).alias("gap"), one.alias("m"))))
 
 
 def _digits(m: Column) -> Column:
@@ -77,30 +97,64 @@ def _valid(kind: str, m: Column) -> Column:
         short = lambda p: F.ltrim(p, F.lit("0"))
         return F.forall(F.split(m, r"\."), lambda p: (F.length(short(p)) <= 3) & (F.lpad(short(p), 3, "0") <= "255"))
     if kind == "card":
-        return F.length(_digits(m)).between(13, 19) & luhn(_digits(m))
+        return _let(_digits(m), lambda d: F.when(F.length(d).between(13, 19), luhn(d)).otherwise(False))
     if kind == "phone":
         return F.length(_digits(m)).between(9, 15)
     return F.lit(True)
 
 
-def base(text: Column) -> dict[str, Column]:
-    """For each kind: the matches that stand, as array<struct<start,end,m>>."""
-    none = F.array().cast("array<struct<start:int,end:int,m:string>>")
-    cue = {"email": F.contains(text, F.lit("@")), "ip": F.rlike(text, F.lit(r"[0-9]\.[0-9]")), "card": F.rlike(text, F.lit("[0-9][ -]?[0-9]")), "phone": F.rlike(text, F.lit(r"\+[0-9]"))}
+def _standing(kind: str):  # noqa: ANN202  a test of one match
+    return lambda x: _valid(kind, x["m"])
+
+
+#: What a text must hold for a kind's pattern to match.
+_CUES = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": "[0-9][ -]?[0-9]", "phone": r"\+[0-9]"}
+
+
+def _bases(text: Column) -> Column:
+    """An array of the matches that stand for each kind."""
+    none = F.array().cast("array<struct<gap:int,m:string>>")
+    found = F.array(*(F.when(F.rlike(text, F.lit(_CUES[kind])), _paired(text, PATTERNS[kind])).otherwise(none) for kind in KINDS))
+    placed = F.transform(found, lambda rows: F.when(F.size(rows) > 0, _running(rows)).otherwise(F.array().cast(_SPAN)))
+    return _let(placed, lambda x: F.struct(*(F.filter(x[k], _standing(kind)).alias(kind) for k, kind in enumerate(KINDS))))
+
+
+def _short(word: Column, most: int) -> Column:
+    return F.when(F.length(word) <= most, word).otherwise(F.concat(F.lit("#"), F.hex(F.xxhash64(word)), F.lit(":"), F.length(word).cast("string")))
+
 
-    def kept(kind: str) -> Column:
-        return F.filter(spans(text, PATTERNS[kind]), lambda x: _valid(kind, x["m"]))
+def _units(text: Column) -> Column:
+    """array<struct<start,end,m,before,after>>: units with the two words before them and the word after, in lower case."""
 
-    return {kind: F.when(cue[kind], kept(kind)).otherwise(none) for kind in KINDS}
+    def near(gap: Column) -> Column:
+        edges = lambda x: F.struct(F.length(gap).alias("gap"), F.substring_index(x, " ", -2).alias("last"), F.substring_index(x, " ", 1).alias("first"))
+        return _let(F.trim(F.regexp_replace(F.lower(gap), r"\s+", " ")), edges)
 
+    def told(found: Column, gaps: Column) -> Column:
+        def one(x: Column, k: Column) -> Column:
+            earlier = lambda n: F.coalesce(F.lower(F.get(found, k - n)), F.lit(""))
+            last = lambda n: F.coalesce(F.get(gaps, k - n)["last"], F.lit(""))
+            # where a gap has fewer than two words, the units before it give them
+            before = F.when(F.contains(last(0), F.lit(" ")), last(0)).otherwise(F.substring_index(F.trim(F.concat_ws(" ", earlier(2), last(1), earlier(1), last(0))), " ", -2))
+            after = F.coalesce(F.nullif(F.get(gaps, k + 1)["first"], F.lit("")), F.lower(F.substring_index(F.get(found, k + 1), " ", 1)), F.lit("$"))
+            return F.struct(x["start"].alias("start"), x["end"].alias("end"), x["m"].alias("m"), before.alias("before"), after.alias("after"))
 
-def _around(text: Column, start: Column, end: Column) -> Column:
-    """Patterns that a span's neighbours form: two words before it; the word before and the word after."""
-    before = F.split(F.rtrim(F.lower(F.substr(text, F.greatest(start - CONTEXT, F.lit(0)) + 1, F.least(start, F.lit(CONTEXT))))), r"\s+")
-    after = F.split(F.ltrim(F.lower(F.substr(text, end + 1, F.lit(CONTEXT)))), r"\s+")
-    last = lambda k: F.coalesce(F.nullif(F.get(before, F.size(before) - k), F.lit("")), F.lit("^"))
-    following = F.coalesce(F.nullif(F.get(after, F.lit(0)), F.lit("")), F.lit("$"))
-    return F.array(F.concat_ws(" ", F.lit("before"), last(2), last(1)), F.concat_ws(" ", F.lit("within"), last(1), following))
+        pairs = F.zip_with(found, F.slice(gaps, 1, F.size(found)), lambda m, gap: F.struct(gap["gap"].alias("gap"), m.alias("m")))
+        return F.transform(_let(pairs, _running), one)
+
+    return _let(F.regexp_extract_all(text, F.lit(UNIT), F.lit(0)), lambda found: _let(F.transform(F.split(text, UNIT, -1), near), lambda gaps: told(found, gaps)))
+
+
+def _patterns(words: Column, after: Column) -> Column:
+    """The word before a unit; two words before it; the word before and the word after."""
+    last = lambda k: _short(F.coalesce(F.nullif(F.get(words, F.size(words) - k), F.lit("")), F.lit("^")), LONG_WORD)
+    one = lambda near: F.array(F.concat_ws(" ", F.lit("after"), near["a"]), F.concat_ws(" ", F.lit("after"), near["b"], near["a"]), F.concat_ws(" ", F.lit("within"), near["a"], _short(after, LONG_WORD)))
+    return _let(F.struct(last(1).alias("a"), last(2).alias("b")), one)
+
+
+def _secret(m: Column) -> Column:
+    count = lambda others: F.length(F.regexp_replace(m, others, ""))
+    return F.when(F.length(m) >= SECRET_CHARS, F.rlike(m, F.lit("^[A-Za-z0-9+/_-]++=*+$")) & (count("[^0-9]") >= SECRET_OF_EACH) & (count("[^A-Za-z]") >= SECRET_OF_EACH)).otherwise(False)
 
 
 def _marked(kind: str, *fields: str) -> Column:
@@ -109,31 +163,47 @@ def _marked(kind: str, *fields: str) -> Column:
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """tag, doc_id, an array of base spans for each kind, and occurrences: (kind or null, start, end, instance, patterns)."""
+    """tag, doc_id, an array of base spans for each kind, and occurrences: (kind of a seed or null, free, start, end, instance, patterns)."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = rows.select("doc_id", "text", *(c.alias(kind) for kind, c in base(F.col("text")).items()))
-    tokens = F.when(F.rlike("text", F.lit("[0-9@]")), spans(F.col("text"), TOKEN))
-    rows = rows.withColumn("tokens", tokens).withColumn("all", F.concat(*(_marked(kind, "start", "end", "m") for kind in KINDS)))
+    rows = rows.select("doc_id", F.when(F.rlike("text", F.lit("[0-9@]")), _units(F.col("text"))).otherwise(F.array().cast(_SPAN.replace(">>", ",before:string,after:string>>"))).alias("units"))
+
+    def read(x: Column) -> Column:
+        def told(lead: Column) -> Column:
+            key = F.lower(F.regexp_extract(lead, r"(\p{L}.*)?[=:]", 1))
+            before = F.when(key != "", F.concat_ws(" ", F.substring_index(x["before"], " ", -1), key)).otherwise(x["before"])
+            return F.struct(F.length(lead).alias("n"), F.regexp_replace(F.substr(x["m"], F.length(lead) + 1), TAIL, "").alias("core"), F.split(before, " ").alias("words"))
+
+        def whole(y: Column) -> Column:
+            return F.struct(
+                x["start"].alias("at"), (x["start"] + y["n"]).alias("start"), (x["start"] + y["n"] + F.length(y["core"])).alias("end"), y["core"].alias("m"),
+                _patterns(y["words"], x["after"]).alias("patterns"), _bases(x["m"]).alias("base"),
+            )
+
+        return _let(_let(F.regexp_extract(x["m"], LEAD, 0), told), whole)
+
+    rows = rows.select("doc_id", F.transform("units", read).alias("units"))
+    moved = lambda kind: F.flatten(F.transform("units", lambda u: F.transform(u["base"][kind], lambda x: F.struct((u["at"] + x["start"]).alias("start"), (u["at"] + x["end"]).alias("end")))))
 
-    def core(x: Column) -> Column:
-        lead = F.length(F.regexp_extract(x["m"], r"^[^\p{L}\p{N}+]*", 0))
-        tail = F.length(F.regexp_extract(x["m"], r"[^\p{L}\p{N}]*$", 0))
-        start, end = x["start"] + lead, F.greatest(x["end"] - tail, x["start"] + lead)
-        return F.struct(F.lit(None).cast("string").alias("kind"), start.alias("start"), end.alias("end"), F.substr(x["m"], lead + 1, end - start).alias("m"))
+    def told(u: Column) -> Column:
+        whole = lambda kind: (F.size(u["base"][kind]) == 1) & (F.get(u["base"][kind], F.lit(0))["m"] == u["m"])
+        kind = F.coalesce(*(F.when(whole(kind), kind) for kind in KINDS), F.when(_secret(u["m"]), SECRET))
+        bare = F.lit(True)
+        for name in KINDS:
+            bare = bare & (F.size(u["base"][name]) == 0)
+        instance = _short(F.lower(u["m"]), LONG_INSTANCE)
+        return F.struct(kind.alias("kind"), bare.alias("free"), u["start"].alias("start"), u["end"].alias("end"), instance.alias("instance"), u["patterns"].alias("patterns"))
 
-    free = F.filter(F.transform("tokens", core), lambda x: (x["end"] - x["start"] >= LEAST) & ~F.exists("all", lambda y: (y["start"] < x["end"]) & (y["end"] > x["start"])))
-    told = lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"), F.lower(x["m"]).alias("instance"), _around(F.col("text"), x["start"], x["end"]).alias("patterns"))
-    bare = lambda kind: F.transform(kind, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))).alias(kind)
-    occurrences = F.when(F.col("tokens").isNotNull(), F.transform(F.concat("all", free), told))
-    return rows.select(F.monotonically_increasing_id().alias("tag"), "doc_id", *(bare(kind) for kind in KINDS), occurrences.alias("occurrences"))
+    # a unit that holds a base match and more is neither a seed nor an instance
+    occurrences = F.filter(F.transform("units", told), lambda x: (x["end"] > x["start"]) & (x["free"] | x["kind"].isin(*KINDS)))
+    return rows.select(F.monotonically_increasing_id().alias("tag"), "doc_id", *(moved(kind).alias(kind) for kind in KINDS), occurrences.alias("occurrences"))
 
 
 def _bounded(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def discover(scanned: DataFrame, root: str, min_seeds: int = MIN_SEEDS, rounds: int = ROUNDS, confident: float = CONFIDENT) -> DataFrame:
-    """tag, kind, start, end of findings beyond the base patterns."""
+def discover(scanned: DataFrame, root: str, min_seeds: int = MIN_SEEDS, rounds: int = ROUNDS, confident: float = CONFIDENT) -> tuple[DataFrame, DataFrame]:
+    """Findings beyond the base patterns (tag, kind, start, end), and the patterns with their scores (pattern, as_kind, score)."""
     seen = scanned.select("tag", F.explode("occurrences").alias("o")).select("tag", "o.*")
     links = written(seen.select(F.explode("patterns").alias("pattern"), "instance", "kind").distinct(), "links", root)
     seeds = links.where("kind is not null").select("instance", "kind").distinct()
@@ -141,43 +211,51 @@ def discover(scanned: DataFrame, root: str, min_seeds: int = MIN_SEEDS, rounds:
     useful = written(useful, "useful", root)
     edges = links.select("pattern", "instance").distinct().join(_bounded(useful), "pattern")
     known = seeds.groupBy("instance").agg(F.collect_set("kind").alias("kinds"))
-    edges = edges.join(known, "instance", "left").select("pattern", "as_kind", "instance", F.when(F.array_contains("kinds", F.col("as_kind")), 1.0).when(F.col("kinds").isNotNull(), 0.0).alias("seed"))
-    edges = written(edges, "edges", root)
+    shortest = seeds.groupBy(F.col("kind").alias("as_kind")).agg(F.min(F.length("instance")).alias("shortest"))  # a row for each kind
+    edges = edges.join(known, "instance", "left").join(F.broadcast(shortest), "as_kind")
+    seed = F.when(F.array_contains("kinds", F.col("as_kind")), 1.0).when(F.col("kinds").isNotNull(), 0.0)
+    edges = written(edges.select("pattern", "as_kind", "instance", seed.alias("seed"), F.least(F.lit(1.0), SHORTER * F.length("instance") / F.col("shortest")).alias("fits")), "edges", root)
     trust = None
     for k in range(rounds):
         scored = edges if trust is None else edges.join(trust, ["instance", "as_kind"], "left")
-        worth = F.coalesce("seed", F.lit(0.0) if trust is None else F.col("trust"), F.lit(0.0))
+        held = F.lit(0.0) if trust is None else F.when(F.col("trust") >= confident, F.col("trust"))
+        worth = F.coalesce("seed", held, F.lit(0.0))
         patterns = written(scored.groupBy("pattern", "as_kind").agg((F.sum(worth) / (F.count(F.lit(1)) + 1)).alias("score")), f"patterns{k}", root)
-        doubt = F.sum(F.log(F.greatest(1.0 - F.col("score"), F.lit(1e-9))))
-        trust = edges.where("seed is null").join(_bounded(patterns), ["pattern", "as_kind"]).groupBy("instance", "as_kind").agg((1.0 - F.exp(doubt)).alias("trust"))
+        trust = edges.where("seed is null or seed = 1").join(_bounded(patterns), ["pattern", "as_kind"]).groupBy("instance", "as_kind").agg(F.max(F.col("score") * F.col("fits")).alias("trust"))
         trust = written(trust, f"trust{k}", root)
     good = patterns.where(F.col("score") >= confident).select("pattern", "as_kind")
     sure = trust.where(F.col("trust") >= confident).select("instance", "as_kind", "trust")
-    open_ = seen.where("kind is null").select("tag", "start", "end", "instance", F.explode("patterns").alias("pattern"))
+    open_ = seen.where("free").select("tag", "start", "end", "instance", F.explode("patterns").alias("pattern"))
     met = open_.join(_bounded(good), "pattern").join(sure, ["instance", "as_kind"])
     best = F.max(F.struct("trust", "as_kind"))["as_kind"]
-    return met.groupBy("tag", "start", "end").agg(best.alias("kind")).select("tag", "kind", "start", "end")
+    return met.groupBy("tag", "start", "end").agg(best.alias("kind")).select("tag", "kind", "start", "end"), patterns
 
 
 def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **parameters: object) -> DataFrame:
     """One row for each document: its id, an array of base spans for each kind, and ``found``: findings of the method.
 
     A null text counts as empty and has no spans. Rows that repeat a doc_id each have their own findings; null
-    doc_ids are kept. Other columns are ignored; an empty table gives an empty result.
+    doc_ids are kept. Other columns are ignored, whatever their names; an empty table gives an empty result.
+    Very long texts are read in time that grows with their length, and a text of one unit is one instance.
+    Findings never overlap base spans.
     """
     root = shared_dir(docs.sparkSession)
     scanned = written(scan(docs, id_col, text_col), "scan", root)
-    more = discover(scanned, root, **parameters).groupBy("tag").agg(F.collect_list(F.struct("kind", "start", "end")).alias("found"))
+    more = discover(scanned, root, **parameters)[0].groupBy("tag").agg(F.collect_list(F.struct("kind", "start", "end")).alias("found"))
     none = F.array().cast("array<struct<kind:string,start:int,end:int>>")
     return scanned.join(written(more, "found", root), "tag", "left").select(F.col("doc_id").alias(id_col), *KINDS, F.coalesce("found", none).alias("found"))
 
 
 def digests(docs: DataFrame, **parameters: object) -> DataFrame:
+    """The columns of the query: counts and a digest of base spans, all spans as text, and their number."""
     rows = personal_data(docs, **parameters)
-    rank = lambda kind: F.array_position(F.array(*map(F.lit, KINDS)), kind)
+    rank = lambda kind: F.array_position(F.array(*map(F.lit, (*KINDS, SECRET))), kind)
     name = lambda kind, x: F.concat_ws(":", kind, x["start"].cast("string"), x["end"].cast("string"))
     own = F.concat(*(_marked(kind, "start", "end") for kind in KINDS))
     ranked = lambda x: F.struct(rank(x["kind"]).alias("k"), x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"))
     plain = F.array_join(F.transform(own, lambda x: name(x["kind"], x)), ",")
     everything = F.array_join(F.transform(F.sort_array(F.transform(F.concat(own, F.col("found")), ranked)), lambda x: name(x["kind"], x)), ",")
-    return rows.select(rows.columns[0], *(F.size(kind).cast("long").alias(f"n_{kind}") for kind in KINDS), F.sha2(plain.cast("binary"), 256).alias("base_sha256"), everything.alias("spans"))
+    return rows.select(
+        rows.columns[0], *(F.size(kind).cast("long").alias(f"n_{kind}") for kind in KINDS), F.sha2(plain.cast("binary"), 256).alias("base_sha256"), everything.alias("spans"),
+        (F.size(own) + F.size("found")).cast("long").alias("n_spans"),
+    )
