@@ -23,10 +23,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """A new folder below the one that the cluster shares (spark.checkpoint.dir).
 
-    Where that setting is absent, as in local tests, a temporary folder takes its place.
+    Where that setting is absent in local mode, as in tests, a temporary folder takes its place; on a cluster,
+    whose executors could not read that, it is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         own = tempfile.mkdtemp(prefix="lakeward-")
         atexit.register(shutil.rmtree, own, ignore_errors=True)
         base = f"file://{own}"
@@ -34,6 +37,24 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/lakeward-{uuid.uuid4().hex}"
 
 
+def parts_for(df: DataFrame, each: int = 32 << 20) -> int:
+    """Partitions to deal df into: as many as the session asks for, and more where a share of the files' bytes would exceed ``each``."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    asked = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return asked if size >> 60 else max(asked, -(-size // each))
+
+
+def sampled(h: Column, most: float, n: int) -> Column:
+    """Whether a 64-bit hash falls into the share most / n of its range: about ``most`` of n distinct values, however large n is."""
+    return F.shiftrightunsigned(h, 1) < F.lit(min((1 << 63) - 1, int(min(1.0, most / max(1, n)) * (1 << 63))))
+
+
+def bounded(df: DataFrame, most: int = 16 << 20) -> DataFrame:
+    """df to be broadcast if its rows, written as JSON, have at most that many bytes; else as it is, to be joined by shuffle."""
+    size = df.select(F.sum(F.octet_length(F.to_json(F.struct("*")))).alias("n")).first()["n"] or 0
+    return F.broadcast(df) if size <= most else df
+
+
 def written(df: DataFrame, name: str = "table", root: str | None = None) -> DataFrame:
     """The rows of df as a table in the shared folder: lineage ends there and no executor's loss repeats work."""
     spark = df.sparkSession

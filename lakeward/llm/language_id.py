@@ -13,14 +13,15 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lakeward.llm.common import map_arrow
+from lakeward.llm.common import map_arrow, sampled, shared_dir, written
 
-#: The fit's bound: about SAMPLE_DOCS labelled texts for each language, SAMPLE_CHARS characters of each.
-SAMPLE_DOCS, SAMPLE_CHARS = 300, 4000
-DICTIONARY_BYTES = 112 << 10
+#: The fit's bound: distinct labelled texts, whole, for each language.
+SAMPLE_DOCS = 300
+#: A dictionary holds the language's commonest words up to this many bytes; MOST_WORDS is more than fit.
+DICTIONARY_BYTES, MOST_WORDS = 112 << 10, 60_000
 #: A piece is short enough for zstandard to search the dictionary in place.
 PIECE = 8 << 10
 LEVEL, SHORT_LEVEL, SHORT = 3, 19, 512
@@ -39,23 +40,33 @@ def letters(text: str) -> bytes:
     return f" {' '.join(dict.fromkeys(_WORD.findall(text.lower())))} ".encode("utf-8", "surrogatepass")
 
 
-def fit(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, bytes]:
+def fit(docs: DataFrame, learn: Column, text_col: str = "text", lang_col: str = "lang") -> dict[str, bytes]:
     """A dictionary for each language of the rows that ``learn`` marks, the commonest language first.
 
-    Rows are sampled by a hash of their id, in proportion to the bound and the language's rows.
+    Of each language the SAMPLE_DOCS distinct texts with the smallest 64-bit hashes are drawn, or all if there
+    are fewer. The dictionary holds the words that most of them hold, the commonest at its end, where zstandard
+    refers to them by the shortest offsets. Rows with a null language, and texts that are null or have no
+    letter, teach nothing; an empty table gives no dictionaries.
     """
-    rows = docs.where(learn & F.col(lang_col).isNotNull() & F.rlike(text_col, F.lit(r"\p{L}"))).select(
-        F.col(lang_col).cast("string").alias("lang"), F.pmod(F.xxhash64(F.lit("language"), F.col(id_col).cast("string")), F.lit(1 << 20)).alias("h"), F.substring(text_col, 1, SAMPLE_CHARS).alias("text")
-    )
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    root = shared_dir(docs.sparkSession)
+    rows = docs.where(learn & F.col(lang_col).isNotNull() & F.rlike(text_col, F.lit(r"\p{L}"))).select(F.col(lang_col).cast("string").alias("lang"), F.xxhash64(F.lit("language"), F.col(text_col)).alias("h"), F.col(text_col).alias("text"))
+    counts = {r["lang"]: (r["n"], r["d"]) for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("h").alias("d")).collect()}
     if not counts:
         return {}
-    share = F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, int(min(1.0, SAMPLE_DOCS / n) * (1 << 20)))))
-    texts: dict[str, list[tuple]] = {lang: [] for lang in counts}
-    for row in rows.where(F.col("h") < share[F.col("lang")]).select("lang", "h", "text").toLocalIterator():
-        texts[row["lang"]].append((row["h"], letters(row["text"])))
-    order = sorted(counts, key=lambda lang: (-counts[lang], lang))
-    return {lang: b"".join(text for _, text in sorted(texts[lang]))[:DICTIONARY_BYTES] for lang in order}
+    drawn = F.lit(False)
+    for lang, (_, distinct) in counts.items():
+        drawn = drawn | ((F.col("lang") == lang) & sampled(F.col("h"), 4 * SAMPLE_DOCS, distinct))
+    texts = written(rows.where(drawn).groupBy("lang", "h").agg(F.min("text").alias("text")), "sample", root)
+    few = texts.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy(F.shiftrightunsigned("h", 1), "h"))).where(F.col("nth") <= SAMPLE_DOCS)
+    words = F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), F.lit(1))))
+    common = few.select("lang", words.alias("word")).groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
+    first = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
+    common = common.withColumn("nth", F.row_number().over(first)).withColumn("bytes", F.sum(F.octet_length("word") + 1).over(first.rowsBetween(Window.unboundedPreceding, 0)))
+    found: dict[str, list[str]] = {lang: [] for lang in counts}
+    for row in common.where((F.col("nth") <= MOST_WORDS) & (F.col("bytes") <= DICTIONARY_BYTES - 2)).orderBy("lang", "nth").select("lang", "word").collect():
+        found[row["lang"]].append(row["word"])
+    order = sorted(counts, key=lambda lang: (-counts[lang][0], lang))
+    return {lang: f" {' '.join(reversed(found[lang]))} ".encode() for lang in order}
 
 
 class Classifier:
