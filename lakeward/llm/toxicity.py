@@ -4,8 +4,8 @@ Terms come from labelled texts: words far commoner in toxic ones. The lexicon is
 text an automaton that accepts everything within one edit of it runs along the trie, so that misspelled terms
 are found without listing their variants. A term counts by how much likelier a toxic text holds it than a
 clean text of that length; near matches count less, the less the more that variant occurs in clean texts. A window of
-words around each match weighs it: quotation marks and reporting words speak for quotation, other matches
-nearby for abuse. The sum is calibrated to a probability on a bounded sample of labelled rows.
+words around each match weighs it: other matches nearby speak for abuse, and a match between quotation marks,
+which are paired over the whole text, for a report of it. The sum is calibrated to a probability on a bounded sample of labelled rows.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakeward.llm.common import map_arrow, shared_dir, written
+from lakeward.llm.common import map_arrow, sampled, shared_dir, written
 
 #: Bounds of the fit: terms, and labelled documents (about) from which all of it is learned.
 MOST_TERMS, SAMPLE_DOCS = 2000, 40_000
@@ -35,9 +35,7 @@ LEAST_NEAR, TYPICAL_WORDS = 2.0, 300
 THRESHOLD = 0.7
 CACHE = 1_000_000
 _WORD = re.compile(r"[^\W_]+")
-_QUOTES = re.compile("[\"“”«»„]")
-#: Words that report what others say.
-REPORTING = frozenset("called calls quote quoted quotes said says term termed word wrote".split())
+_QUOTES = re.compile("[\"“”«»„]|\n")
 
 
 class Automaton:
@@ -130,6 +128,21 @@ class Lexicon:
         return sorted(found)
 
 
+def quotations(text: str) -> tuple[list[int], list[int]]:
+    """Starts and ends of what stands between marks: marks pair in order within a line, and one left over pairs with none."""
+    starts, ends, opened = [], [], None
+    for mark in _QUOTES.finditer(text):
+        if mark[0] == "\n":
+            opened = None
+        elif opened is None:
+            opened = mark.end()
+        else:
+            starts.append(opened)
+            ends.append(mark.start())
+            opened = None
+    return starts, ends
+
+
 def evidence(text: str, lexicon: Lexicon) -> tuple[int, list[tuple[int, str | None, bool, int]]]:
     """Words of the text, and for each match: term, the word if misspelled, whether it is quoted, other matches in its window."""
     low_text = text.lower()
@@ -138,20 +151,15 @@ def evidence(text: str, lexicon: Lexicon) -> tuple[int, list[tuple[int, str | No
     if not known:
         return len(words), []
     hits = [(k, known[word]) for k, word in enumerate(words) if word in known]
-    marks = [m.start() for m in _QUOTES.finditer(low_text)]
-    spans = [m.span() for m in _WORD.finditer(low_text)] if marks else None
+    starts, ends = quotations(low_text)
+    places = [m.start() for m in _WORD.finditer(low_text)] if starts else None
     at = [k for k, _ in hits]
     out = []
     for k, (term, edits) in hits:
         low, high = max(0, k - WINDOW), k + WINDOW
         company = bisect_right(at, high) - bisect_left(at, low) - 1
-        quoted = not REPORTING.isdisjoint(words[low:k])
-        if spans and not quoted:
-            begin, end = spans[low][0], spans[min(high, len(spans) - 1)][1]
-            before = bisect_left(marks, spans[k][0]) - bisect_left(marks, begin)
-            after = bisect_left(marks, end) - bisect_left(marks, spans[k][1])
-            quoted = before % 2 == 1 and after >= 1
-        out.append((term, words[k] if edits else None, quoted, company))
+        nth = bisect_right(starts, places[k]) - 1 if starts else -1
+        out.append((term, words[k] if edits else None, nth >= 0 and places[k] < ends[nth], company))
     return len(words), out
 
 
@@ -212,21 +220,22 @@ def _calibrated(strength: np.ndarray, toxic: np.ndarray) -> tuple[float, float]:
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> str:
     """The model as JSON, from labelled rows of docs that ``learn`` marks (by the id alone).
 
-    Of these, about SAMPLE_DOCS are drawn by a hash of the id; equal texts count once, as toxic if one of them is.
+    Of these, about SAMPLE_DOCS are drawn by a hash of the id; equal texts count once, as toxic if one of them
+    is, and at most twice SAMPLE_DOCS distinct texts count.
     A doc_id with several labels is toxic if one of them says so; null labels and texts are left out. Only the
     sample's labels and row numbers are broadcast.
     """
     spark = docs.sparkSession
     root = shared_dir(spark)
     known = labels.where(learn & F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max((F.col(label_col) > 0).cast("int")).alias("toxic"))
-    known = written(known.withColumn("h", F.pmod(F.xxhash64(F.lit("toxicity"), F.col("id").cast("string")), F.lit(1 << 20))), "labels", root)
-    drawn = known.where(F.col("h") < int(min(1.0, SAMPLE_DOCS / max(1, known.count())) * (1 << 20))).select("id", "toxic")
+    known = written(known.withColumn("h", F.xxhash64(F.lit("toxicity"), F.col("id").cast("string"))), "labels", root)
+    drawn = known.where(sampled(F.col("h"), SAMPLE_DOCS, known.count())).select("id", "toxic")
     texts = docs.where(learn & F.col(text_col).isNotNull()).select(F.col(id_col).alias("its_id"), F.col(text_col).alias("text"))
     texts = texts.join(F.broadcast(drawn), F.col("its_id") == F.col("id")).select("toxic", "text", F.xxhash64("text").alias("h"), F.monotonically_increasing_id().alias("tag"))
     texts = written(texts, "sample", root)
-    firsts = texts.groupBy("h").agg(F.min("tag").alias("tag"), F.max("toxic").alias("toxic")).select("tag", "toxic")
-    few = firsts.count() <= 2 * SAMPLE_DOCS  # unless rows repeat a labelled doc_id without bound
-    rows = written(texts.select("text", "tag").join(F.broadcast(firsts) if few else firsts, "tag").select("toxic", "text"), "labelled", root)
+    # rows may repeat a labelled doc_id without bound: of distinct texts those with the smallest hashes are learned from
+    firsts = texts.groupBy("h").agg(F.min("tag").alias("tag"), F.max("toxic").alias("toxic")).orderBy("h").limit(2 * SAMPLE_DOCS).select("tag", "toxic")
+    rows = written(texts.select("text", "tag").join(F.broadcast(firsts), "tag").select("toxic", "text"), "labelled", root)
     totals = rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("docs"), F.sum(F.length("text")).alias("chars")).collect()
     docs_of = {r["toxic"]: r["docs"] for r in totals}
     n1, n0 = docs_of.get(1, 0), docs_of.get(0, 0)
