@@ -27,12 +27,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeward.llm.common import map_arrow, raw, shared_dir, written
+from lakeward.llm.common import map_arrow, parts_for, raw, shared_dir, written
 
 #: Bytes of content that one open-addressing table holds before its bucket is partitioned again.
 MEMORY_BYTES = 96 << 20
 #: Files of one round of partitioning, and bits of the hash that choose among them.
 FANOUT_BITS = 4
+#: Rows of one table that are held in memory (32 bytes each).
+HELD_ROWS = 1 << 20
 _HEAD = struct.Struct("<QqqqI")
 
 
@@ -75,6 +77,33 @@ class OpenTable:
             self.slots[at] = entry
 
 
+class Rows:
+    """(entry, tag, rank, size) of a table's rows: packed, and beyond HELD_ROWS in a spill file, so that rows of one content are no burden."""
+
+    packed = struct.Struct("<qqqq")
+
+    def __init__(self, folder: str | None) -> None:
+        self.folder, self.file, self.held, self.n = folder, None, bytearray(), 0
+
+    def append(self, entry: int, tag: int, rank: int, size: int) -> None:
+        self.held += self.packed.pack(entry, tag, rank, size)
+        self.n += 1
+        if len(self.held) >= HELD_ROWS * self.packed.size:
+            self.file = self.file or tempfile.TemporaryFile(prefix="grace-", dir=self.folder)
+            self.file.write(self.held)
+            self.held.clear()
+
+    def __len__(self) -> int:
+        return self.n
+
+    def __iter__(self) -> Iterator[tuple[int, int, int, int]]:
+        if self.file:
+            self.file.seek(0)
+            while part := self.file.read(1000 * self.packed.size):
+                yield from self.packed.iter_unpack(part)
+        yield from self.packed.iter_unpack(bytes(self.held))
+
+
 #: A record: (hash, tag, rank, size, content). rank orders equal contents, the largest stays; tag names the row.
 Record = tuple[int, int, int, int, bytes]
 
@@ -86,24 +115,25 @@ def _spilled(path: str) -> Iterator[Record]:
             yield h, tag, rank, size, file.read(n)
 
 
-def grace(records: Iterable[Record], memory: int = MEMORY_BYTES, folder: str | None = None, depth: int = 0) -> Iterator[tuple[OpenTable, list[tuple[int, int, int]]]]:
-    """Yields tables of distinct contents with their rows as (entry, tag, rank).
+def grace(records: Iterable[Record], memory: int = MEMORY_BYTES, folder: str | None = None, depth: int = 0) -> Iterator[tuple[OpenTable, Rows]]:
+    """Yields tables of distinct contents with their rows as (entry, tag, rank, size).
 
-    Past the memory budget, everything is dealt to spill files by bits of the hash that earlier rounds have
-    not used. When all bits are used the contents are equal or collide in 64 bits; the table then grows.
+    Past the memory budget of distinct contents, everything is dealt to spill files by bits of the hash that
+    earlier rounds have not used. When all bits are used the contents are equal or collide in 64 bits; the
+    table then grows.
     """
-    table, rows, held = OpenTable(), [], 0
+    table, rows, held = OpenTable(), Rows(folder), 0
     records = iter(records)
     bits_left = 64 - FANOUT_BITS * (depth + 1) >= 0
     for h, tag, rank, size, content in records:
         known = len(table.contents)
         entry = table.add(h, content, (rank, tag), size)
-        rows.append((entry, tag, rank, size))
-        held += 120 + (len(content) + 160 if entry == known else 0)
+        rows.append(entry, tag, rank, size)
+        held += len(content) + 360 if entry == known else 0
         if held > memory and bits_left and len(table.contents) > 1:
             break
     else:
-        yield table, [(entry, tag, rank) for entry, tag, rank, _ in rows]
+        yield table, rows
         return
     own = tempfile.mkdtemp(prefix="grace-", dir=folder)
     try:
@@ -137,6 +167,19 @@ def _scratch() -> str | None:
 _NONE = -(1 << 63)
 
 
+def _chunks(table: OpenTable, rows: Rows) -> Iterator[list[tuple[int, int, int, int]]]:
+    """Rows some at a time: at most 2,000, fewer where contents are long."""
+    part, size = [], 0
+    for row in rows:
+        part.append(row)
+        size += len(table.contents[row[0]])
+        if len(part) == 2000 or size > 8 << 20:
+            yield part
+            part, size = [], 0
+    if part:
+        yield part
+
+
 def _local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row for each input row; the row that leads its content in this partition carries the content."""
 
@@ -146,15 +189,14 @@ def _local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield xxhash.xxh3_64_intdigest(content), tag, _NONE if rank is None else rank, 1, content
 
     for table, rows in grace(records(), folder=_scratch()):
-        for at in range(0, len(rows), 2000):
-            part = rows[at : at + 2000]
-            lead = [table.best[entry] == (rank, tag) for entry, tag, rank in part]
+        for part in _chunks(table, rows):
+            lead = [table.best[entry] == (rank, tag) for entry, tag, rank, _ in part]
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array([rank if rank != _NONE else None for _, _, rank in part], pa.int64()),
-                    pa.array([table.best[entry][1] for entry, _, _ in part], pa.int64()),
-                    pa.array([table.sizes[entry] if first else None for (entry, _, _), first in zip(part, lead, strict=True)], pa.int64()),
-                    pa.array([table.contents[entry] if first else None for (entry, _, _), first in zip(part, lead, strict=True)], pa.binary()),
+                    pa.array([rank if rank != _NONE else None for _, _, rank, _ in part], pa.int64()),
+                    pa.array([table.best[entry][1] for entry, *_ in part], pa.int64()),
+                    pa.array([table.sizes[entry] if first else None for (entry, *_), first in zip(part, lead, strict=True)], pa.int64()),
+                    pa.array([table.contents[entry] if first else None for (entry, *_), first in zip(part, lead, strict=True)], pa.binary()),
                 ],
                 ["id", "lead", "size", "content"],
             )
@@ -170,15 +212,14 @@ def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for table, rows in grace(records(), folder=_scratch()):
         digests = [hashlib.sha256(content).hexdigest() for content in table.contents]
-        for at in range(0, len(rows), 10_000):
-            part = rows[at : at + 10_000]
+        for part in _chunks(table, rows):
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array([tag for _, tag, _ in part], pa.int64()),
-                    pa.array([table.best[entry][0] if table.best[entry][0] != _NONE else None for entry, _, _ in part], pa.int64()),
-                    pa.array([table.best[entry][1] for entry, _, _ in part], pa.int64()),
-                    pa.array([table.sizes[entry] for entry, _, _ in part], pa.int64()),
-                    pa.array([digests[entry] for entry, _, _ in part], pa.string()),
+                    pa.array([tag for _, tag, _, _ in part], pa.int64()),
+                    pa.array([table.best[entry][0] if table.best[entry][0] != _NONE else None for entry, *_ in part], pa.int64()),
+                    pa.array([table.best[entry][1] for entry, *_ in part], pa.int64()),
+                    pa.array([table.sizes[entry] for entry, *_ in part], pa.int64()),
+                    pa.array([digests[entry] for entry, *_ in part], pa.string()),
                 ],
                 ["lead", "keep_id", "keep_lead", "group_size", "text_sha256"],
             )
@@ -197,8 +238,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     tagged = docs.select(F.monotonically_increasing_id().alias("tag"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("content"))
     local = written(map_arrow(tagged, _local, "id long, lead long, size long, content binary"), "local", root)
     leaders = local.where("size is not null").select("id", "lead", "size", "content")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = leaders.repartition(parts, F.xxhash64("content"))
+    dealt = leaders.repartition(parts_for(leaders), F.xxhash64("content"))
     classes = map_arrow(dealt, _classes, "lead long, keep_id long, keep_lead long, group_size long, text_sha256 string")
     members = local.select("id", "lead", F.col("size").isNotNull().alias("first"))
     return members.join(classes, "lead").select(
