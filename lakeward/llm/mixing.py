@@ -3,7 +3,7 @@
 Each source gets a share of the mix by weight, limited to a multiple of its size; the excess is shared anew
 (water filling). A source whose target is r times its size gives floor(r) whole copies of each document; for
 the rest, f = r - floor(r), each document has inclusion probability f, and documents are ranked by their
-Pareto value q = (u / (1 - u)) / (f / (1 - f)), u a hash of the doc_id. Within a source the sample is a
+Pareto value q = (u / (1 - u)) / (f / (1 - f)), u a hash of the doc_id and the text. Within a source the sample is a
 prefix of that order, fixed by size: as many words as the target leaves. A weight column makes the inclusion
 probabilities unequal within a source. The gap that a document too large for it leaves is filled by later
 documents of the order that fit, until none is left that does.
@@ -71,8 +71,8 @@ def mix(
     """Columns of docs (all, or those in keep) under ``doc``, with size, source_size, target, copies and taken = copies * size.
 
     Sizes are words; a null text has none, and takes no part but for the whole copies of its source. A null
-    source is a source of its own, last in order. Rows that repeat a doc_id rank alike and are ordered by
-    size, then by row number. weight_col scales the inclusion odds within a source (null or below 0 counts as
+    source is a source of its own, last in order. Rows that repeat a doc_id (null too) are ranked by
+    their own texts; rows that repeat both rank alike and are ordered by row number. weight_col scales the inclusion odds within a source (null or below 0 counts as
     1). Empty tables give empty results. Reruns over the same table agree.
     """
     spark = docs.sparkSession
@@ -80,7 +80,7 @@ def mix(
     own = F.when(F.col(weight_col) > 0, F.col(weight_col).cast("double")).otherwise(1.0) if weight_col else F.lit(1.0)
     carried = F.struct(*(f"`{c}`" for c in (docs.columns if keep is None else keep)))
     rows = docs.select(
-        carried.alias("doc"), F.col(id_col).cast("string").alias("key"), F.col(source_col).cast("string").alias("source"), words_count(F.col(text_col)).alias("size"), own.alias("own"), F.monotonically_increasing_id().alias("tag")
+        carried.alias("doc"), F.concat_ws(":", F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))).alias("key"), F.col(source_col).cast("string").alias("source"), words_count(F.col(text_col)).alias("size"), own.alias("own"), F.monotonically_increasing_id().alias("tag")
     )
     sized = written(rows, "sized", root)
     plan = written(_plan(source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, total_share, most)), "plan", root)
@@ -182,4 +182,4 @@ def _fill(rows: pa.Table) -> pa.Table:
 def mixed(docs: DataFrame, seed: int = 7, **parameters: object) -> DataFrame:
     """The mix itself: columns of docs, each row as often as it is taken."""
     chosen = mix(docs, seed=seed, **parameters)
-    return chosen.where("copies > 0").select("doc.*", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("__copy")).drop("__copy")
+    return chosen.where("copies > 0").select("doc", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("doc.*")

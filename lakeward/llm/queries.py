@@ -89,7 +89,7 @@ ORACLES = {
                doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))""",
     "op9_mixing": r"""
-        WITH RECURSIVE d AS (SELECT doc_id, source, CAST(doc_id AS VARCHAR) AS key, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
+        WITH RECURSIVE d AS (SELECT doc_id, source, concat(coalesce(CAST(doc_id AS VARCHAR), ''), ':', md5(coalesce(text, ''))) AS key, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
         s0 AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
         s1 AS (SELECT *, CAST([5, 2, 1][(row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 + 1] AS DOUBLE) AS weight FROM s0),
         s2 AS (SELECT *, source_size * 2.0::DOUBLE AS cap, source_size * 2.0::DOUBLE / weight AS need FROM s1),
@@ -105,7 +105,7 @@ ORACLES = {
         r2 AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY v, key, size ROWS UNBOUNDED PRECEDING) AS through FROM r1),
         r3 AS (SELECT *, through <= rest AND rest > 0 AS inside, sum(CASE WHEN through <= rest THEN 0 ELSE 1 END) OVER (PARTITION BY source ORDER BY v, key, size ROWS UNBOUNDED PRECEDING) AS after FROM r2),
         g AS (SELECT source, CAST(0 AS HUGEINT) AS k, any_value(rest) - coalesce(max(through) FILTER (inside), 0) AS gap, CAST(NULL AS BIGINT) AS doc_id, false AS one FROM r3 WHERE rest > 0 GROUP BY source
-            UNION ALL SELECT n.source, n.after, CASE WHEN n.size <= g.gap THEN g.gap - n.size ELSE g.gap END, n.doc_id, n.size <= g.gap FROM g JOIN r3 n ON n.source IS NOT DISTINCT FROM g.source AND n.after = g.k + 1 AND NOT n.inside WHERE g.k < 64)
+            UNION ALL SELECT n.source, n.after, CASE WHEN n.size <= g.gap THEN g.gap - n.size ELSE g.gap END, n.doc_id, n.size <= g.gap FROM g JOIN r3 n ON n.source IS NOT DISTINCT FROM g.source AND n.after = g.k + 1 AND NOT n.inside)
         SELECT r3.doc_id, size, source_size, target, CAST((whole + CASE WHEN inside OR coalesce(one, false) THEN 1 ELSE 0 END) * size AS BIGINT) AS taken FROM r3 LEFT JOIN (SELECT doc_id, one FROM g WHERE one) x ON x.doc_id = r3.doc_id""",
 }
 

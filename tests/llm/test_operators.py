@@ -2,16 +2,19 @@
 
 import hashlib
 import random
+import re
+import tracemalloc
 import zlib
 
 import numpy as np
 import public_tokenizers as P
 import pytest
 import xxhash
+import zstandard
 from pyspark.sql import functions as F
 
 from lakeward.llm import decontaminate, exact_dedup, language_id, mixing, simhash, token_files, toxicity, warc
-from lakeward.llm.common import held, words_count
+from lakeward.llm.common import held, sampled, words_count
 from lakeward.llm.components import components
 from tests.llm import brute
 
@@ -31,7 +34,7 @@ def test_grace_recursion_compares_contents():
     assert len(tables) > 1
     found = {}
     for table, members in tables:
-        for entry, tag, rank in members:
+        for entry, tag, rank, _ in members:
             found.setdefault((id(table), entry), set()).add(tag)
             assert table.best[entry] == (max(k for k in range(2000) if k % 50 == tag % 50),) * 2
     assert sorted(map(sorted, found.values())) == sorted([k for k in range(2000) if k % 50 == m] for m in range(50))
@@ -43,6 +46,21 @@ def test_grace_with_equal_hashes():
     assert len(table.contents) == 2 and sorted(table.sizes) == [200, 200] and len(members) == 400
 
 
+def test_rows_of_one_content_are_spilled(monkeypatch):
+    monkeypatch.setattr(exact_dedup, "HELD_ROWS", 1000)
+    tracemalloc.start()
+    (table, members), = exact_dedup.grace(((5, k, k, 1, b"") for k in range(300_000)), memory=1 << 20)
+    parts = exact_dedup._chunks(table, members)
+    assert sum(len(part) for part in parts) == len(members) == 300_000 and table.best == [(299_999, 299_999)]
+    assert tracemalloc.get_traced_memory()[1] < 8 << 20
+    tracemalloc.stop()
+
+
+def test_chunks_end_where_contents_are_long():
+    (table, members), = exact_dedup.grace((k, k, k, 1, bytes([k]) * (5 << 20)) for k in range(5))
+    assert [len(part) for part in exact_dedup._chunks(table, members)] == [2, 2, 1]
+
+
 def test_exact_dedup(spark):
     data = [(1, "a", 9), (2, "a", 9), (3, None, 9), (4, "", 9), (5, "b", None), (6, "A", 9), (None, "b", 1), (7, "a ", 2), (7, "a ", 2)]
     df = spark.createDataFrame(data, "doc_id long, text string, lead int").repartition(5)
@@ -239,6 +257,16 @@ def test_mixing(spark):
     assert sorted((str(r[0]), r[1]) for r in again) == sorted((str(r["doc_id"]), r["taken"]) for r in got)
     assert mixing.mixed(df).count() == sum(r["copies"] for r in got) and mixing.mixed(df).columns == df.columns
     assert mixing.mix(df.limit(0)).count() == 0
+    clash = df.withColumn("__copy", F.lit(1)).withColumn("doc", F.lit(2)).withColumn("copies", F.lit(3))
+    assert mixing.mixed(clash).columns == clash.columns
+
+
+def test_rows_without_an_id_are_ranked_by_their_texts(spark):
+    df = spark.range(400).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("w"), "id", F.lit(" w")).alias("text"), F.lit("s").alias("source"))
+    got = mixing.mix(df, total_share=0.25).select("doc.text", "copies").where("copies > 0").collect()
+    assert len(got) == 100 and sorted(got) == sorted(mixing.mix(df.repartition(3), total_share=0.25).select("doc.text", "copies").where("copies > 0").collect())
+    first = sum(int(r[0][1:-2]) < 100 for r in got)
+    assert 10 < first < 45
 
 
 @pytest.mark.parametrize("at_once", [4096, 1])
@@ -254,7 +282,7 @@ def test_documents_far_beyond_the_boundary_fill_the_gap(spark, monkeypatch, at_o
         left, want = mine[0]["target"], set()
 
         def rank(r, f=f):
-            u = (int(hashlib.md5(f"7:{r['doc_id']}".encode()).hexdigest()[:13], 16) + 0.5) / (1 << 52)
+            u = (int(hashlib.md5(f"7:{r['doc_id']}:{hashlib.md5(' '.join(['w'] * r['size']).encode()).hexdigest()}".encode()).hexdigest()[:13], 16) + 0.5) / (1 << 52)
             return u * (1 - f) / (u * (1 - f) + (1 - u) * f)
 
         for r in sorted(mine, key=rank):
@@ -280,6 +308,57 @@ def test_words(spark):
 # classifiers
 
 
+@pytest.mark.parametrize("n", [0, 1, 300, 10**9, 314_572_801, 10**18])
+def test_samples_of_any_table_size(spark, n):
+    """Of n hashes spread evenly over their range, about 1,000 are drawn, though n may be far beyond 2**20."""
+    most = 1000
+    spread = [k * (1 << 64) // n for k in range(min(n, 4 * most))]
+    rows_ = spark.createDataFrame([(h - (1 << 64) if h >> 63 else h,) for h in spread], "h long")
+    assert abs(rows_.where(sampled(F.col("h"), most, n)).count() - min(n, most)) <= 1
+
+
+def test_language_id_equals_a_plain_version(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang").cache()
+    learned = language_id.fit(docs, F.lit(True))
+    rows_ = docs.collect()
+    words = lambda text: re.findall(r"[^\W\d_]+", (text or "").lower())
+    for lang, content in learned.items():
+        counts = {}
+        for text in {r["text"] for r in rows_ if r["lang"] == lang and words(r["text"])}:
+            for word in set(words(text)):
+                counts[word] = counts.get(word, 0) + 1
+        want = [w for w, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0].encode()))]
+        held_words = content.decode().split()[::-1]
+        assert held_words == want[: len(held_words)] and (len(held_words) == len(want) or len(content) > language_id.DICTIONARY_BYTES - 100)
+
+    def size(data, content, level):
+        raw = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        raw.precompute_compress(level=level)
+        return len(zstandard.ZstdCompressor(level=level, dict_data=raw, write_content_size=True).compress(data))
+
+    for r in language_id.identify(docs, learned).select("doc.text", "lang_pred", "rejected").collect():
+        data = f" {' '.join(dict.fromkeys(words(r['text'])))} ".encode()
+        short = len(data) <= language_id.SHORT
+        data = language_id.CARRIER + data if short else data
+        pieces = [data[k : k + language_id.PIECE] for k in range(0, len(data), language_id.PIECE)]
+        sizes = {lang: sum(size(x, content, language_id.SHORT_LEVEL if short else language_id.LEVEL) for x in pieces) for lang, content in learned.items()}
+        if words(r["text"]):
+            first, second = sorted(sizes.values())[:2]
+            assert sizes[r["lang_pred"]] == first and r["rejected"] == (second - first < max(1, 0.002 * first))
+
+
+@pytest.mark.parametrize(
+    "text, quoted",
+    [
+        ('"aa" badword "bb"', False), ('"badword" he said', True), ('he said "' + "w " * 30 + 'badword"', True), ('"' + "w " * 30 + '" badword', False),
+        ("„badword“ x", True), ("«x» badword «y»", False), ('a stray " mark\nbadword "x"', False), ('badword "', False), ('" badword', False), ('"a" "badword"', True), ('they said badword', False),
+    ],
+)
+def test_quotations_are_paired_over_the_whole_text(text, quoted):
+    (_, _, found, _), = toxicity.evidence(text, toxicity.Lexicon(["badword"]))[1]
+    assert found == quoted
+
+
 def test_language_id_on_held_out_rows(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
     out = held(F.col("doc_id"), 4, 2)
