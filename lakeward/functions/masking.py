@@ -17,9 +17,10 @@ def mask_phone(c: Column) -> Column:
 
 
 def mask_email(c: Column) -> Column:
-    """First character and all that follows the first @."""
-    at = F.instr(c, "@")
-    return F.when(filled(c).isNull(), None).when(at == 0, "***").otherwise(F.concat(F.substring(c, 1, 1), F.lit("***@"), F.substr(c, at + 1)))
+    """First character of what precedes the first @, and all that follows it; null for null and empty text."""
+    s = trimmed(c)
+    shown = F.concat(F.substring(F.substring_index(s, "@", 1), 1, 1), F.lit("***@"), F.substr(s, F.instr(s, "@") + 1))
+    return F.when(F.coalesce(c, F.lit("")) == "", None).when(F.instr(s, "@") == 0, "***").otherwise(shown)
 
 
 def mask_national_id(c: Column) -> Column:
@@ -41,20 +42,26 @@ def with_token(df: DataFrame, id_col: str, salt: str, out: str) -> DataFrame:
     return df.crossJoin(F.broadcast(secret)).withColumn(out, token).drop("__salt")
 
 
-#: Policy masks in SQL: unlike the expressions above, they take years of 365.25 days, eight stars, and of an
-#: address the part up to a second @. exempt is an expression that lets auditors see values.
+#: Decade of age in years of 365.25 days; null where the text is no date.
+_DECADE = "CAST(floor(datediff({as_of}, try_to_date(val)) / 3652.5) * 10 AS INT)"
+#: Policy masks: what each shows of a value, in SQL, and what stands where it shows nothing. Unlike the
+#: expressions above they take years of 365.25 days, eight stars, and of an address the part up to a second @.
 POLICIES = {
-    "policy_full_name": "CASE WHEN {exempt} THEN val WHEN val IS NULL OR length(trim(val)) = 0 THEN '***' ELSE concat(upper(substring(trim(val), 1, 1)), '***') END",
-    "policy_phone": "CASE WHEN {exempt} THEN val WHEN val IS NULL THEN '******' ELSE concat('******', right(regexp_replace(val, '[^0-9]', ''), 4)) END",
-    "policy_email": "CASE WHEN {exempt} THEN val WHEN val IS NULL THEN NULL WHEN instr(val, '@') = 0 THEN '***' ELSE concat(substring(val, 1, 1), '***@', split_part(val, '@', 2)) END",
-    "policy_national_id": "CASE WHEN {exempt} THEN val WHEN val IS NULL THEN '********' ELSE concat('********', right(val, 4)) END",
-    "policy_dob": "CASE WHEN {exempt} THEN val WHEN val IS NULL THEN 'Unknown' ELSE concat(cast(cast(floor(datediff({as_of}, to_date(val)) / 365.25 / 10) * 10 AS INT) AS STRING), '-', cast(cast(floor(datediff({as_of}, to_date(val)) / 365.25 / 10) * 10 + 9 AS INT) AS STRING)) END",
+    "policy_full_name": ("upper(left(nullif(trim(val), ''), 1)) || '***'", "'***'"),
+    "policy_phone": ("'******' || right(regexp_replace(val, '[^0-9]', ''), 4)", "'******'"),
+    "policy_email": ("if(contains(val, '@'), left(val, 1) || '***@' || split_part(val, '@', 2), nvl2(val, '***', NULL))", "NULL"),
+    "policy_national_id": ("repeat('*', 8) || right(val, 4)", "repeat('*', 8)"),
+    "policy_dob": (f"transform(array({_DECADE}), low -> low || '-' || (low + 9))[0]", "'Unknown'"),
 }
 
 
 def register_policies(spark: SparkSession, exempt: str = "false", as_of: str = "current_date()") -> list[str]:
-    """Temporary SQL functions, inlined by the optimiser. Returns their names."""
-    for name, body in POLICIES.items():
-        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}(val STRING) RETURNS STRING RETURN {body.format(exempt=exempt, as_of=as_of)}")
-    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION policy_patient_id(val STRING, salt STRING) RETURNS STRING RETURN CASE WHEN {exempt} THEN val ELSE sha2(concat(salt, val), 256) END")
+    """Temporary SQL functions, inlined by the optimiser; exempt is a condition under which values show. Returns their names."""
+
+    def register(name: str, arguments: str, masked: str) -> None:
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({arguments}) RETURNS STRING RETURN if({exempt}, val, {masked})")
+
+    for name, (shown, otherwise) in POLICIES.items():
+        register(name, "val STRING", f"nvl({shown.replace('{as_of}', as_of)}, {otherwise})")
+    register("policy_patient_id", "val STRING, salt STRING", "sha2(salt || val, 256)")
     return [*POLICIES, "policy_patient_id"]

@@ -14,6 +14,15 @@ NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 DATE_FORMATS = ("yyyy-M-d", "d/M/yyyy", "M/d/yyyy", "d-MMM-yyyy", "d-MMMM-yyyy", "yyyy/M/d", "yyyy-M-d H:m:s", "d-M-yyyy")
 #: Further formats, month first, that a lenient reader also takes. A bare year or time is not a date here.
 LENIENT_FORMATS = ("yyyy-MM-dd'T'HH:mm:ss[.SSS][XXX]", "yyyy-MM-dd'T'HH:mm", "yyyy-M-d H:m:s.SSS", "yyyy-M-d H:m", "yyyyMMdd", "M.d.yyyy", "d.M.yyyy", "M/d/yy", "d/M/yy", "MMMM d, yyyy", "MMM d, yyyy", "d MMMM yyyy", "d MMM yyyy")
+#: Which of these formats can read a text, by its shape: a text is tried with two or three, not with all.
+_SHAPES = {
+    r"^\d+/\d+/\d+$": [f for f in DATE_FORMATS + LENIENT_FORMATS if f.count("/") == 2],
+    r"^[+-]?\d+-[^ ]*[ T].*:": [f for f in DATE_FORMATS + LENIENT_FORMATS if "H" in f],
+    r"^[+-]?\d+-": [f for f in DATE_FORMATS + LENIENT_FORMATS if "-" in f and "H" not in f],
+    r"^\d+$": ["yyyyMMdd"],
+    r"^\d+\.\d+\.": [f for f in LENIENT_FORMATS if "." in f and "H" not in f],
+    r"\p{L}.*\d|\d.*\p{L}": [f for f in LENIENT_FORMATS if "MMM" in f],
+}
 #: What names a payer, in order of preference.
 PAYERS = (("star", "Star Health"), ("icici", "ICICI Lombard"), ("hdfc", "HDFC ERGO"), ("bajaj", "Bajaj Allianz"), ("care", "Care Health"), ("niva", "Niva Bupa"), ("bupa", "Niva Bupa"))
 #: What states a claim's outcome, in order of preference.
@@ -43,8 +52,11 @@ def parse_date(c: Column) -> Column:
     """Date of a text in any known format, else null. A text of ISO shape is read as ISO or not at all."""
 
     def read(s: Column) -> Column:
-        known = [F.try_to_timestamp(s, F.lit(f)).cast("date") if "H" in f else F.try_to_date(s, f) for f in DATE_FORMATS + LENIENT_FORMATS]
-        return F.when(s.rlike(ISO), F.try_to_date(s, "yyyy-MM-dd")).otherwise(F.coalesce(*known))
+        out = F.when(s.rlike(ISO), F.try_to_date(s, "yyyy-MM-dd"))
+        for shape, formats in _SHAPES.items():
+            known = [F.try_to_timestamp(s, F.lit(f)).cast("date") if "H" in f else F.try_to_date(s, f) for f in formats]
+            out = out.when(s.rlike(shape), F.coalesce(*known))
+        return out
 
     return _once(filled(c), read)
 

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from lakeward.functions.scalars import half_even, insurer, month, parse_date, title_case, trimmed
 
-MONEY = "decimal(18,2)"
+#: Wide enough for sums; what is beyond it, or no number, counts as no amount.
+MONEY = "decimal(28,2)"
 DEFAULT_CAPACITY = 30
 
 
@@ -17,7 +18,7 @@ def _day(df: DataFrame, column: str) -> Column:
 
 def money_sum(c: Column) -> Column:
     """A sum that doesn't depend on the order of rows."""
-    return F.coalesce(F.sum(c.cast(MONEY)), F.lit(0).cast(MONEY)).cast("double")
+    return F.coalesce(F.try_sum(c.try_cast(MONEY)).cast("double"), F.lit(0.0))
 
 
 def daily_admissions(encounters: DataFrame, hospitals: DataFrame | None = None) -> DataFrame:
@@ -42,7 +43,7 @@ def daily_admissions(encounters: DataFrame, hospitals: DataFrame | None = None)
     if hospitals is None:
         out = out.withColumn("bed_capacity", F.lit(DEFAULT_CAPACITY))
     else:
-        out = out.join(F.broadcast(hospitals.select("hospital_id", "bed_capacity")), "hospital_id", "left").withColumn("bed_capacity", F.coalesce("bed_capacity", F.lit(DEFAULT_CAPACITY)).cast("int"))
+        out = out.join(hospitals.select("hospital_id", "bed_capacity"), "hospital_id", "left").withColumn("bed_capacity", F.coalesce("bed_capacity", F.lit(DEFAULT_CAPACITY)).cast("int"))
     stay = F.least(F.greatest(F.col("avg_length_of_stay"), F.lit(1.0)), F.lit(5.0))
     present = F.least(F.rint(F.col("admissions") * stay).cast("long"), (F.col("bed_capacity") * F.lit(1.2)).cast("long"))
     out = out.withColumn("inpatients_in_house", present)
@@ -57,6 +58,7 @@ def _readmitted(rows: DataFrame, days: int) -> DataFrame:
 
     Admissions and discharges become points on one line for each patient; a range window counts the admissions
     that follow a discharge, less the stay's own. Linear in a patient's stays, where a self-join is quadratic.
+    Stays without a patient are never readmissions, and each is a line of its own.
     """
     day = lambda c: F.date_diff(F.col(c), F.lit("1970-01-01").cast("date"))
     admit, leave = day("admit_date"), day("discharge_date")
@@ -66,9 +68,9 @@ def _readmitted(rows: DataFrame, days: int) -> DataFrame:
             F.struct(leave.alias("t"), F.lit(0).alias("n"), (admit - leave).between(0, days).cast("int").alias("own"), F.lit(True).alias("leaves")),
         )
     )
-    ahead = Window.partitionBy("patient_id").orderBy("t").rangeBetween(0, days)
+    ahead = Window.partitionBy("patient_id", F.when(F.col("patient_id").isNull(), F.col("encounter_id"))).orderBy("t").rangeBetween(0, days)
     line = rows.select("patient_id", "encounter_id", "hospital_id", "discharge_date", points.alias("p")).select("*", "p.*")
-    return line.withColumn("after", F.sum("n").over(ahead)).where("leaves").withColumn("again", F.col("after") > F.col("own"))
+    return line.withColumn("after", F.sum("n").over(ahead)).where("leaves").withColumn("again", F.col("patient_id").isNotNull() & (F.col("after") > F.col("own")))
 
 
 def readmission(encounters: DataFrame, days: int = 30, method: str = "window") -> DataFrame:

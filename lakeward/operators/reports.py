@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakeward.functions.scalars import half_even
+from lakeward import schemas
+from lakeward.functions.scalars import filled, half_even
 from lakeward.operators.gold import money_sum
 from lakeward.operators.governance import guard
 
 
 def named(mart: DataFrame, hospitals: DataFrame) -> DataFrame:
     """Adds hospital_name and region; refuses a mart with personal data."""
-    return guard(mart).join(F.broadcast(hospitals.select("hospital_id", "hospital_name", "region")), "hospital_id", "left")
+    return guard(mart).join(hospitals.select("hospital_id", "hospital_name", "region"), "hospital_id", "left")
 
 
 def chosen(mart: DataFrame, hospitals: list[str] | None = None, first: str | None = None, last: str | None = None, by: str = "date") -> DataFrame:
@@ -76,8 +77,12 @@ def abnormal_rates(labs: DataFrame, *by: str) -> DataFrame:
     return out.withColumn("abnormal_rate_pct", _pct(F.col("abnormal_cases"), F.col("total_tests")))
 
 
-def heatmap(labs: DataFrame, tests: list[str]) -> DataFrame:
-    """A row for each hospital, a column for each test: its abnormal share in percent."""
+def heatmap(labs: DataFrame, tests: list[str] | None = None, most: int = 500) -> DataFrame:
+    """A row for each hospital, a column for each test: its abnormal share in percent. More tests than ``most`` are an error."""
+    if tests is None:
+        tests = [r[0] for r in labs.where("test_name is not null").select("test_name").distinct().orderBy("test_name").limit(most + 1).collect()]
+        if len(tests) > most:
+            raise ValueError(f"more than {most} tests: name those to show")
     rate = _pct(F.sum("abnormal_count"), F.sum("tests_done"))
     return labs.groupBy("hospital_name").pivot("test_name", tests).agg(rate)
 
@@ -87,11 +92,22 @@ def outliers(labs: DataFrame, most: int = 10) -> DataFrame:
 
 
 def cleansing_summary(bronze: dict[str, DataFrame], silver: dict[str, DataFrame], quarantine: DataFrame) -> DataFrame:
-    """entity, bronze, silver, quarantined, superseded (what is left), and the share that became silver."""
+    """entity, bronze, silver, quarantined, superseded, unaccounted, and the share that became silver.
+
+    Rows are counted key by key: of a key in silver all rows but one that were not quarantined are superseded;
+    rows of other keys that were not quarantined are lost, and shown as unaccounted.
+    """
     out = None
     for entity in bronze:
-        one = bronze[entity].agg(F.count(F.lit(1)).alias("bronze")).crossJoin(silver[entity].agg(F.count(F.lit(1)).alias("silver"))).crossJoin(quarantine.where(F.col("entity") == entity).agg(F.count(F.lit(1)).alias("quarantined")))
-        one = one.select(F.lit(entity).alias("entity"), "bronze", "silver", "quarantined", (F.col("bronze") - F.col("silver") - F.col("quarantined")).alias("superseded"))
+        key, silver_key = schemas.KEYS[entity], schemas.SILVER_KEYS[entity]
+        at = F.coalesce(filled(F.col(key)), F.lit(""))
+        read = bronze[entity].groupBy(at.alias("__key")).agg(F.count(F.lit(1)).alias("bronze"))
+        bad = quarantine.where(F.col("entity") == entity).groupBy(F.col("business_key").alias("__key")).agg(F.count(F.lit(1)).alias("quarantined"))
+        good = silver[entity].groupBy(F.coalesce(F.col(silver_key).cast("string"), F.lit("")).alias("__key")).agg(F.count(F.lit(1)).alias("silver"))
+        one = read.join(bad, "__key", "full").join(good, "__key", "full").na.fill(0)
+        left = F.col("bronze") - F.col("quarantined") - F.col("silver")
+        sums = [F.sum(c).alias(c) for c in ("bronze", "silver", "quarantined")] + [F.sum(F.when(F.col("silver") > 0, left).otherwise(0)).alias("superseded"), F.sum(F.when(F.col("silver") == 0, left).otherwise(0)).alias("unaccounted")]
+        one = one.agg(*sums).na.fill(0).select(F.lit(entity).alias("entity"), "bronze", "silver", "quarantined", "superseded", "unaccounted")
         out = one if out is None else out.unionByName(one)
     return out.withColumn("silver_pct", _pct(F.col("silver"), F.col("bronze")))
 

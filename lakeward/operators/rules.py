@@ -13,12 +13,11 @@ from lakeward.functions.scalars import filled, parse_date
 
 @dataclass(frozen=True)
 class Reference:
-    """A foreign key: column must be among keys (a frame of one column); a blank may be allowed. small: broadcast keys."""
+    """A foreign key: column must be among keys (a frame of one column); a blank may be allowed."""
 
     column: str
     keys: DataFrame
     optional: bool = False
-    small: bool = False
 
 
 def bad_date(column: str, optional: bool = False) -> Column:
@@ -27,12 +26,12 @@ def bad_date(column: str, optional: bool = False) -> Column:
 
 
 def classify(df: DataFrame, key: str, dates: tuple[str, ...] = (), optional_dates: tuple[str, ...] = (), references: tuple[Reference, ...] = ()) -> DataFrame:
-    """Adds reject_reason: key, then dates, then references in order; null for rows that pass. Each reference is one join."""
+    """Adds reject_reason: key, then dates, then references in order; null for rows that pass. Each reference is one join, broadcast where Spark knows the keys to be few."""
     flags = []
     for k, reference in enumerate(references):
         found = f"__found{k}"
         keys = reference.keys.select(filled(F.col(reference.keys.columns[0])).alias(f"__key{k}")).distinct().withColumn(found, F.lit(True))
-        df = df.join(F.broadcast(keys) if reference.small else keys, filled(F.col(reference.column)) == F.col(f"__key{k}"), "left").drop(f"__key{k}")
+        df = df.join(keys, filled(F.col(reference.column)) == F.col(f"__key{k}"), "left").drop(f"__key{k}")
         orphan = F.col(found).isNull()
         flags.append((filled(F.col(reference.column)).isNotNull() & orphan if reference.optional else orphan, found))
     reasons = [F.when(filled(F.col(key)).isNull(), schemas.NULL_KEY)]

@@ -6,19 +6,22 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def dedupe(df: DataFrame, key: str, order: Column, ties: list[Column], mode: str = "coalesce") -> DataFrame:
-    """One row for each key: the last by order (null order last), ties by further columns.
+def ranked(df: DataFrame, key: str, order: Column, ties: list[Column], mode: str = "coalesce") -> DataFrame:
+    """Adds is_last: true for one row of each key, the last by order (null order last), ties by further columns.
 
-    coalesce: each column takes its last value that is not null, so that a newer row's gaps are filled from
-    older rows. row: the last row as it stands.
+    coalesce: each column takes its key's last value that is not null, so that a newer row's gaps are filled
+    from older rows. row: rows as they stand.
     """
     by = Window.partitionBy(key).orderBy(order.asc_nulls_last(), *ties)
     whole = by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     is_last = F.row_number().over(by) == F.count(F.lit(1)).over(whole)  # one sort serves both modes
-    if mode == "row":
-        return df.withColumn("__last", is_last).where("__last").drop("__last")
-    merged = [F.col(c) if c == key else F.last(c, ignorenulls=True).over(whole).alias(c) for c in df.columns]
-    return df.select(*merged, is_last.alias("__last")).where("__last").drop("__last")
+    merged = [F.col(c) if c == key or mode == "row" else F.last(c, ignorenulls=True).over(whole).alias(c) for c in df.columns]
+    return df.select(*merged, is_last.alias("is_last"))
+
+
+def dedupe(df: DataFrame, key: str, order: Column, ties: list[Column], mode: str = "coalesce") -> DataFrame:
+    """One row for each key."""
+    return ranked(df, key, order, ties, mode).where("is_last").drop("is_last")
 
 
 def newer(incoming: DataFrame, current: DataFrame, key: str, current_key: str, order: str) -> DataFrame:

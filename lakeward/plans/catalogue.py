@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +9,9 @@ from pyspark.sql import functions as F
 
 from lakeward.functions import masking, scalars
 from lakeward.operators import gold, governance, profile, reports, rules, upsert
+from lakeward.plans import filequeries
 from lakeward.plans import testbed as tb
+from lakeward.sources.storage import replace_partition, scratch
 from lakeward.streaming import incremental
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -149,7 +150,7 @@ def _classified(spark: SparkSession, d: str) -> DataFrame:
         F.when(k % 97 == 0, "H99").otherwise(F.concat(F.lit("H"), F.lpad((k % 25).cast("string"), 2, "0"))).alias("hospital_id"), F.col("o_custkey").cast("string").alias("patient_id"),
     )
     known = tb.table(spark, d, "customer").where("c_custkey % 89 <> 0").select(F.col("c_custkey").cast("string").alias("patient_id"))
-    references = (rules.Reference("hospital_id", tb.hospitals(spark, d).select("hospital_id"), small=True), rules.Reference("patient_id", known))
+    references = (rules.Reference("hospital_id", tb.hospitals(spark, d).select("hospital_id")), rules.Reference("patient_id", known))
     return rules.classify(rows, "encounter_id", ("admit_date",), (), references)
 
 
@@ -163,18 +164,25 @@ def s_quarantine_keys(spark: SparkSession, d: str) -> DataFrame:
     return _classified(spark, d).where("reject_reason is not null").select("o_orderkey", F.coalesce(scalars.filled(F.col("encounter_id")), F.lit("")).alias("business_key"), F.col("reject_reason").alias("reason"))
 
 
-@query()
+@query(
+    FAULTS.replace("o_custkey % 89 = 0 AS lost", "o_custkey % 89 = 0 AS lost, cast(o_custkey AS VARCHAR) AS patient")
+    + """, j AS (SELECT trim(key) AS business_key, reason, cast(json_object('encounter_id', key, 'admit_date', day, 'hospital_id', hospital, 'patient_id', patient) AS VARCHAR) AS record_payload FROM c WHERE reason IS NOT NULL)
+    SELECT sha256(concat_ws(chr(31), 'encounters', business_key, reason, 'batch_0', record_payload)) AS quarantine_id, 'encounters' AS entity, business_key, reason, 'batch_0' AS batch_id, record_payload, '2026-01-01T00:00:00Z' AS quarantine_timestamp FROM j""",
+    "hosp",
+)
 def s_quarantine_payload(spark: SparkSession, d: str) -> DataFrame:
     rejected = _classified(spark, d).where("reject_reason is not null")
     return rules.quarantine_records(rejected, "encounters", "encounter_id", "batch_0", ["encounter_id", "admit_date", "hospital_id", "patient_id"], "2026-01-01T00:00:00Z")
 
 
-@query(UPSERT + " SELECT (SELECT count(*) FROM line WHERE l_shipdate >= '1999-01-01' OR l_orderkey % 10 = 0) AS bronze, (SELECT count(*) FROM fresh) AS loaded, (SELECT count(*) FROM line WHERE l_shipdate >= '1999-01-01' OR l_orderkey % 10 = 0) - (SELECT count(*) FROM fresh) AS superseded", "line")
+@query(UPSERT + " SELECT (SELECT count(*) FROM r1) AS bronze, (SELECT count(*) FROM fresh) AS loaded, (SELECT count(*) FROM r1 WHERE n > 1) AS duplicates, (SELECT count(*) FROM b1 WHERE claim_id NOT IN (SELECT claim_id FROM fresh)) AS older", "line")
 def s_disposition_counts(spark: SparkSession, d: str) -> DataFrame:
-    one, two = _batches(spark, d)
-    delivered = tb.lines(spark, d).where((F.col("l_shipdate") >= "1999-01-01") | (F.col("l_orderkey") % 10 == 0)).agg(F.count(F.lit(1)).alias("bronze"))
-    loaded = upsert.newer(two, one, "claim_id", "claim_id", "l_shipdate").agg(F.count_if("is_newer").alias("loaded"))
-    return delivered.crossJoin(loaded).withColumn("superseded", F.col("bronze") - F.col("loaded"))
+    """Every delivered row by its own outcome: loaded, an earlier row of its key, or not newer than what is held."""
+    one, _ = _batches(spark, d)
+    rows = tb.lines(spark, d).where((F.col("l_shipdate") >= "1999-01-01") | (F.col("l_orderkey") % 10 == 0))
+    ties = [F.col(c) for c in ("l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_discount", "l_tax")]
+    marked = upsert.newer(upsert.ranked(rows, "claim_id", F.col("l_shipdate"), ties, "row"), one, "claim_id", "claim_id", "l_shipdate")
+    return marked.agg(F.count(F.lit(1)).alias("bronze"), F.count_if(F.col("is_last") & F.col("is_newer")).alias("loaded"), F.count_if(~F.col("is_last")).alias("duplicates"), F.count_if(F.col("is_last") & ~F.col("is_newer")).alias("older"))
 
 
 @query("SELECT o_orderkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 97 <> 0)")
@@ -510,7 +518,7 @@ TESTS = ["VIEW", "SIGNUP", "ERROR", "CLICK", "PURCHASE"]
 
 @query(marted(LABS, "SELECT hospital_name, " + ", ".join(f"round_even(sum(abnormal_count) FILTER (test_name = '{t}') / sum(tests_done) FILTER (test_name = '{t}') * 100.0::DOUBLE * 100, 0) / 100 AS \"{t}\"" for t in TESTS) + " FROM labs JOIN hosp USING (hospital_id) GROUP BY 1", "enc", "lab", "hosp"))
 def d_lab_heatmap(spark: SparkSession, d: str) -> DataFrame:
-    return reports.heatmap(_named(labs_mart)(spark, d), TESTS)
+    return reports.heatmap(_named(labs_mart)(spark, d))
 
 
 # set operations, nested values, streams
@@ -538,10 +546,13 @@ def e_events_by_type(spark: SparkSession, d: str) -> DataFrame:
     return tb.table(spark, d, "events").where("ts is not null").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("user_id").alias("users"))
 
 
-@query("SELECT concat('batch_', l_orderkey % 3) AS batch_id, count(*) AS n FROM lineitem WHERE l_orderkey % 3 = 1 GROUP BY 1")
+@query("SELECT concat('batch_', l_orderkey % 3) AS batch_id, count(*) AS n, cast(sum(l_quantity) AS DOUBLE) AS quantity FROM lineitem WHERE l_orderkey % 3 = 1 GROUP BY 1")
 def s_partition_filter(spark: SparkSession, d: str) -> DataFrame:
-    rows = tb.table(spark, d, "lineitem").select(F.concat(F.lit("batch_"), (F.col("l_orderkey") % 3).cast("string")).alias("batch_id"))
-    return rows.where("batch_id = 'batch_1'").groupBy("batch_id").agg(F.count(F.lit(1)).alias("n"))
+    """Lines written by batch; of the table only one batch's folder is read."""
+    rows = tb.table(spark, d, "lineitem").select(F.concat(F.lit("batch_"), (F.col("l_orderkey") % 3).cast("string")).alias("batch_id"), "l_quantity")
+    replace_partition(rows, path := scratch(spark, "batches"))
+    one = spark.read.schema(rows.schema).parquet(path).where("batch_id = 'batch_1'")
+    return one.groupBy("batch_id").agg(F.count(F.lit(1)).alias("n"), F.sum("l_quantity").cast("double").alias("quantity"))
 
 
 @query("SELECT insurer, count(*) AS bronze, count(DISTINCT claim_id) AS silver, count(*) - count(DISTINCT claim_id) AS superseded FROM (SELECT claim_id, CASE l_suppkey % 6 WHEN 0 THEN 'Star Health' WHEN 1 THEN 'ICICI Lombard' WHEN 2 THEN 'HDFC ERGO' WHEN 3 THEN 'Bajaj Allianz' WHEN 4 THEN 'Care Health' ELSE 'Niva Bupa' END AS insurer FROM line) GROUP BY 1", "line")
@@ -550,7 +561,7 @@ def r_rows_by_layer(spark: SparkSession, d: str) -> DataFrame:
     return out.withColumn("superseded", F.col("bronze") - F.col("silver"))
 
 
-@query(FAULTS + ", t AS (SELECT count(*) AS bronze, count(*) FILTER (reason IS NULL) AS silver, count(*) FILTER (reason IS NOT NULL) AS quarantined FROM c) SELECT 'encounters' AS entity, bronze, silver, quarantined, bronze - silver - quarantined AS superseded, round_even(silver / bronze * 100.0::DOUBLE * 100, 0) / 100 AS silver_pct FROM t", "hosp")
+@query(FAULTS + ", t AS (SELECT count(*) AS bronze, count(*) FILTER (reason IS NULL) AS silver, count(*) FILTER (reason IS NOT NULL) AS quarantined FROM c) SELECT 'encounters' AS entity, bronze, silver, quarantined, 0::BIGINT AS superseded, 0::BIGINT AS unaccounted, round_even(silver / bronze * 100.0::DOUBLE * 100, 0) / 100 AS silver_pct FROM t", "hosp")
 def r_cleansing_summary(spark: SparkSession, d: str) -> DataFrame:
     rows = _classified(spark, d)
     records = rules.quarantine_records(rows.where("reject_reason is not null"), "encounters", "encounter_id", "batch_0", ["encounter_id"], "t")
@@ -562,15 +573,13 @@ def st_available_now(spark: SparkSession, d: str) -> DataFrame:
     """Counts by day and kind from a stream of all files that are there; equal to the batch result."""
     events = tb.table(spark, d, "events")
     stream = incremental.read_stream(spark, f"{d}/events.parquet*", events.schema).withColumn("ts", F.col("ts").cast("timestamp"))
-    name = f"windows_{uuid.uuid4().hex}"
-    counts = incremental.windowed_counts(stream.where("ts is not null"))
-    counts.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name).select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n")
+    counts = incremental.table_of(incremental.windowed_counts(stream.where("ts is not null")), scratch(spark, "windows"))
+    return counts.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n")
 
 
 def queries() -> dict[str, Query]:
-    return dict(_queries)
+    return _queries | filequeries.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_oracles)
+    return _oracles | filequeries.ORACLES

@@ -16,7 +16,8 @@ from lakeward.sources import files, readers
 from lakeward.sources.storage import read_or_empty
 
 BATCHES = ("batch_0", "batch_1", "batch_2")
-GOLD = ("hospital_daily_admissions", "readmission_30d", "claims_summary", "lab_abnormality")
+#: Marts, each with the columns that a reader sees it in order of.
+GOLD = {"hospital_daily_admissions": ("hospital_id", "date"), "readmission_30d": ("hospital_id", "discharge_month"), "claims_summary": ("hospital_id", "insurer", "claim_month"), "lab_abnormality": ("hospital_id", "test_name", "result_month")}
 
 
 def now() -> str:
@@ -48,7 +49,8 @@ def load_audit(spark: SparkSession, config: Config) -> DataFrame:
 
 
 def load_gold(spark: SparkSession, config: Config) -> dict[str, DataFrame]:
-    return {name: governance.guard(spark.read.parquet(config.path("gold", name))) for name in GOLD}
+    """Marts in their order: written as they come, sorted for readers."""
+    return {name: governance.guard(spark.read.parquet(config.path("gold", name))).orderBy(*order) for name, order in GOLD.items()}
 
 
 def build_gold(spark: SparkSession, config: Config, hospitals: DataFrame) -> None:
@@ -63,8 +65,10 @@ def record_run(spark: SparkSession, config: Config, batch_id: str, started: str,
     spark.createDataFrame([row], schemas.AUDIT).coalesce(1).write.mode("append").parquet(config.path("audit"))
 
 
-def profile_report(title: str, tables: dict[str, DataFrame], hospitals: DataFrame) -> str:
-    """Profile of each table; foreign keys are held against the tables given."""
+def profile_report(title: str, tables: dict[str, DataFrame], hospitals: DataFrame, warehouse: dict[str, DataFrame] | None = None, sketches: bool = False) -> str:
+    """Profile of each table. Foreign keys are held against the tables given, so that an incremental batch shows
+    keys of earlier batches as orphans; with warehouse, silver tables by entity, against those too.
+    """
     parents = {"hospital_id": hospitals.select("hospital_id"), "primary_hospital_id": hospitals.select("hospital_id")}
     told = {}
     for entity, df in tables.items():
@@ -73,9 +77,12 @@ def profile_report(title: str, tables: dict[str, DataFrame], hospitals: DataFram
         for parent in ("patients", "encounters"):
             column = schemas.KEYS[parent]
             if parent in tables and entity != parent and column in df.columns:
-                references[column] = tables[parent].select(column).distinct()
+                references[column] = tables[parent].select(column)
+                if warehouse:
+                    references[column] = references[column].union(warehouse[parent].select(schemas.SILVER_KEYS[parent]))
+                references[column] = references[column].distinct()
         rows = lambda frame: [tuple(r) for r in frame.collect()]  # noqa: E731  a row for each column or check
-        told[entity] = {"rows": df.count(), "metrics": rows(profile.column_metrics(df)), "violations": rows(profile.violations(df)), "issues": rows(profile.issues(df, key, references))}
+        told[entity] = {"rows": df.count(), "metrics": rows(profile.column_metrics(df, sketches)), "violations": rows(profile.violations(df)), "issues": rows(profile.issues(df, key, references))}
     return profile.markdown(title, told)
 
 
@@ -94,9 +101,9 @@ def run_batch(spark: SparkSession, config: Config, batch_id: str) -> dict:
         silver.write_bronze(raw, config)
         batch = {e: load_bronze(spark, config, e, batch_id) for e in schemas.ENTITIES}
         read = {"read": sum(df.count() for df in batch.values())}
-        files.write_text(spark, config.path("reports", f"profile_{batch_id}.md"), profile_report(f"Bronze, {batch_id}", batch, hospitals))
+        files.write_text(spark, config.path("reports", f"profile_{batch_id}.md"), profile_report(f"Bronze, {batch_id}", batch, hospitals, sketches=config.sketches))
         counts = silver.build(spark, config, batch_id, batch, hospitals, started)
-        files.write_text(spark, config.path("reports", "profile_silver.md"), profile_report("Silver", load_silver(spark, config), hospitals))
+        files.write_text(spark, config.path("reports", "profile_silver.md"), profile_report("Silver", load_silver(spark, config), hospitals, sketches=config.sketches))
         build_gold(spark, config, hospitals)
         totals = {k: sum(n[k] for n in counts.values()) for k in ("read", "loaded", "quarantined", "superseded")}
         record_run(spark, config, batch_id, started, totals, "SUCCESS")
@@ -106,10 +113,19 @@ def run_batch(spark: SparkSession, config: Config, batch_id: str) -> dict:
     return {"batch_id": batch_id, "status": "SUCCESS", "entities": counts, **{f"rows_{k}": n for k, n in totals.items()}}
 
 
+#: The demonstration samples a row for so many users, in order of their names.
+DEMO_USERS = 20
+
+
 def security_demo(spark: SparkSession, config: Config) -> DataFrame:
+    """What each user sees: counts, and the first patient as the user sees it."""
     reference = config.path("landing", "reference")
     tables = load_silver(spark, config)
-    return governance.role_counts(tables["encounters"], tables["patients"], readers.read_users(spark, reference), readers.read_hospitals(spark, reference))
+    users, hospitals = readers.read_users(spark, reference), readers.read_hospitals(spark, reference)
+    counts = governance.role_counts(tables["encounters"], tables["patients"], users, hospitals)
+    vault = silver.vault_table(spark, config).read()
+    names = [r[0] for r in users.select("user_name").orderBy("user_name").limit(DEMO_USERS).collect()]
+    return counts.join(governance.sample_rows(lambda user: governance.patients_view(tables["patients"], vault, users, hospitals, user), names), "user_name", "left")
 
 
 def cleansing_report(spark: SparkSession, config: Config) -> str:
@@ -117,7 +133,7 @@ def cleansing_report(spark: SparkSession, config: Config) -> str:
     bronze, tables = {e: load_bronze(spark, config, e) for e in schemas.ENTITIES}, load_silver(spark, config)
     quarantine = load_quarantine(spark, config)
     summary = reports.cleansing_summary(bronze, tables, quarantine).collect()
-    lines = ["# Cleansing report", "", "| entity | bronze | silver | quarantined | superseded | silver % |", "|---|---|---|---|---|---|"]
+    lines = ["# Cleansing report", "", "| entity | bronze | silver | quarantined | superseded | unaccounted | silver % |", "|---|---|---|---|---|---|---|"]
     lines += ["| " + " | ".join(map(str, row)) + " |" for row in summary] + ["", "| entity | reason | rows |", "|---|---|---|"]
     lines += [f"| {r['entity']} | {r['reason']} | {r['n']} |" for r in reports.reason_counts(quarantine).collect()]
     for title, entity, column in (("Insurers", "claims", "insurer"), ("Genders", "patients", "gender")):

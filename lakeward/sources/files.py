@@ -32,17 +32,35 @@ def read_text(spark: SparkSession, path: str) -> str:
 
 def write_text(spark: SparkSession, path: str, text: str) -> None:
     """Replaces a file in one step: readers see the old text or the new."""
+    write_bytes(spark, path, text.encode())
+
+
+def write_bytes(spark: SparkSession, path: str, content: bytes) -> None:
     temporary = f"{path}.new"
     out = _fs(spark, temporary).create(_path(spark, temporary), True)
     try:
-        out.write(bytearray(text.encode()))
+        out.write(bytearray(content))
     finally:
         out.close()
+    move(spark, temporary, path)
+
+
+def move(spark: SparkSession, source: str, target: str) -> None:
+    """Renames a file; one that has the name is replaced in the same step."""
     jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
     options = gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
     options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
-    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(_path(spark, path).toUri(), spark.sparkContext._jsc.hadoopConfiguration())
-    context.rename(_path(spark, temporary), _path(spark, path), options)
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(_path(spark, target).toUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    context.rename(_path(spark, source), _path(spark, target), options)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    _fs(spark, path).delete(_path(spark, path), True)
+
+
+def times(spark: SparkSession, folder: str) -> dict[str, int]:
+    """Names of the files directly below folder, with their times of modification."""
+    return {x.getPath().getName(): x.getModificationTime() for x in _fs(spark, folder).listStatus(_path(spark, folder)) if not x.isDirectory()}
 
 
 def copy(spark: SparkSession, source: str, target: str) -> list[str]:

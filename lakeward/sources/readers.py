@@ -51,9 +51,15 @@ def _placed(df: DataFrame) -> DataFrame:
     return df.select("*", F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B"))).alias("__file"), F.monotonically_increasing_id().alias("__order"))
 
 
+def _broken_lines(spark: SparkSession, paths: list[str]) -> bool:
+    """Whether a quoted field spans lines: some line then holds an odd number of quotation marks. Lines are read in parallel."""
+    odd = F.length(F.regexp_replace("value", '[^"]', "")) % 2 == 1
+    return not spark.read.text(paths).where(odd).isEmpty()
+
+
 def _delimited(spark: SparkSession, paths: list[str], entity: str, separator: str) -> DataFrame:
     text = ", ".join(f"{name} string" for name, _ in _columns(schemas.RAW[entity]))
-    df = _placed(spark.read.schema(text).option("header", True).option("sep", separator).option("escape", '"').option("multiLine", separator == ",").option("enforceSchema", False).csv(paths))
+    df = _placed(spark.read.schema(text).option("header", True).option("sep", separator).option("escape", '"').option("multiLine", separator == "," and _broken_lines(spark, paths)).option("enforceSchema", False).csv(paths))
     return df.select(*(_known(F.col(name)).alias(name) for name, _ in _columns(schemas.RAW[entity])), "__file", "__order")
 
 

@@ -28,3 +28,10 @@ def read_stream(spark: SparkSession, path: str, schema: str | StructType) -> Dat
 def windowed_counts(events: DataFrame, size: str = "1 day", late: str = "1 day", ts: str = "ts", kind: str = "event_type") -> DataFrame:
     """Counts by tumbling window and kind; rows later than the watermark are dropped."""
     return events.withWatermark(ts, late).groupBy(F.window(ts, size), kind).agg(F.count(F.lit(1)).alias("n")).select(F.col("window.start").alias("start"), kind, "n")
+
+
+def table_of(counts: DataFrame, folder: str) -> DataFrame:
+    """The complete result of an aggregated stream over all that has arrived, as a table in folder; nothing is gathered on the driver."""
+    write = lambda rows, epoch: rows.write.mode("overwrite").parquet(f"{folder}/result")
+    counts.writeStream.foreachBatch(write).outputMode("complete").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    return counts.sparkSession.read.schema(counts.schema).parquet(f"{folder}/result")

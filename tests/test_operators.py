@@ -99,9 +99,40 @@ def test_profile(spark):
     assert profile.duplicate_keys(df, "k").first()[0] == 1
     assert profile.issues(df, "k").count() == 5
     assert rows(profile.column_metrics(df.limit(0)))[0][2] == 0.0
+    assert rows(profile.column_metrics(df, approximate=True)) == rows(profile.column_metrics(df))
+    assert "Expand" not in profile.column_metrics(df)._jdf.queryExecution().executedPlan().toString()
 
 
 def test_pivot_and_outliers(spark):
     labs = spark.createDataFrame([("One", "A", 4, 1), ("One", "B", 2, 2), ("Two", "A", 1, 0)], "hospital_name string, test_name string, tests_done long, abnormal_count long")
     assert rows(reports.heatmap(labs, ["A", "B"])) == [("One", 25.0, 100.0), ("Two", 0.0, None)]
     assert reports.outliers(labs, 1).first()["test_name"] == "B"
+
+
+def test_a_sixth_test_gets_a_column_and_too_many_are_an_error(spark):
+    labs = spark.createDataFrame([("One", f"T{k}", 2, 1) for k in range(6)], "hospital_name string, test_name string, tests_done long, abnormal_count long")
+    assert reports.heatmap(labs).columns == ["hospital_name", *(f"T{k}" for k in range(6))]
+    with pytest.raises(ValueError, match="more than 5"):
+        reports.heatmap(labs, most=5)
+
+
+def test_stays_without_a_patient_are_no_readmissions(spark):
+    rows_ = [("E1", None, "H1", "2026-01-01", "2026-01-02"), ("E2", None, "H1", "2026-01-05", "2026-01-06"), ("E3", "P", "H1", "2026-01-01", "2026-01-02"), ("E4", "P", "H1", "2026-01-05", "2026-01-06")]
+    stays_ = spark.createDataFrame(rows_, "encounter_id string, patient_id string, hospital_id string, admit_date string, discharge_date string")
+    for method in ("window", "join"):
+        assert gold.readmission(stays_, method=method).first()["readmissions_30d"] == 1
+
+
+def test_dirty_amounts_do_not_stop_the_mart(spark):
+    claims = spark.createDataFrame([("c1", "e1", "x", 1e17, 1.0, "Approved", "2026-01-01"), ("c2", "e1", "x", 1e300, None, "Approved", "2026-01-01"), ("c3", "e1", "x", float("nan"), 2.0, "Approved", "2026-01-01"), ("c4", "e1", "x", 1.5, None, "Pending", "2026-01-01")], "claim_id string, encounter_id string, insurer string, claim_amount double, approved_amount double, claim_status string, claim_date string")
+    got = gold.claims_summary(claims, spark.createDataFrame([("e1", "H1")], "encounter_id string, hospital_id string")).first()
+    assert (got["total_claimed"], got["total_approved"], got["claims_count"]) == (1e17 + 1.5, 3.0, 4)
+
+
+def test_the_vault_is_read_for_auditors_only(spark, access):
+    users, hospitals, _ = access
+    patients = spark.createDataFrame([("t1", "P1", "A***", "M", "30-39", 35, "******1", "a***@b.c", "****1", "X", "H1", "t")], "patient_id string, original_patient_id string, full_name string, gender string, age_band string, patient_age int, phone string, email string, national_id string, city string, primary_hospital_id string, last_updated string")
+    vault = spark.createDataFrame([("P1", "Ann", "1", "a@b.c", "1", "1990-01-01", "vaulted")], "original_patient_id string, full_name string, phone string, email string, national_id string, date_of_birth string, mark string").where("mark = 'vaulted'")
+    views = {u: governance.patients_view(patients, vault, users, hospitals, u) for u in ("aud", "m1", "m2", "nobody")}
+    assert {u: [r["full_name"] for r in v.collect()] for u, v in views.items()} == {"aud": ["Ann"], "m1": ["A***"], "m2": [], "nobody": []}
+    assert ["vaulted" in v._jdf.queryExecution().optimizedPlan().toString() for v in views.values()] == [True, False, False, False]

@@ -1,4 +1,5 @@
 import json
+import shutil
 import zipfile
 
 import pytest
@@ -8,7 +9,7 @@ from lakeward import schemas
 from lakeward.config import get_config
 from lakeward.operators import governance, rules, silver
 from lakeward.plans import pipeline
-from lakeward.sources import files, readers
+from lakeward.sources import files, readers, storage
 from lakeward.sources.storage import SnapshotTable
 from lakeward.streaming import incremental
 
@@ -119,7 +120,14 @@ def test_batches_end_to_end(spark, root):
     clear = governance.patients_view(pipeline.load_silver(spark, config)["patients"], silver.vault_table(spark, config).read(), users, hospitals, "aud")
     assert {r["full_name"] for r in clear.collect()} == {'Ann "X" Lee', "Eve New"}
     assert "original_patient_id" not in clear.columns
-    assert "| patients | 8 |" in pipeline.cleansing_report(spark, config)
+    assert "| patients | 8 | 2 | 3 | 3 | 0 |" in pipeline.cleansing_report(spark, config)
+    shown = {r["user_name"]: (r["sample_patient_name"], r["sample_patient_dob_or_band"]) for r in pipeline.security_demo(spark, config).collect()}
+    assert shown["aud"] == ('Ann "X" Lee', "1990-05-01") and shown["m1"] == ("A***", "30-39")
+    batch = {e: pipeline.load_bronze(spark, config, e, "batch_1") for e in schemas.ENTITIES}
+    alone, held = (pipeline.profile_report("x", batch, hospitals, w) for w in (None, pipeline.load_silver(spark, config)))
+    assert alone.count("Orphan foreign keys in 'patient_id'") == 1 and "(33.33 %" in alone.split("## encounters")[1].split("Orphan")[1] and "Orphan foreign keys in 'encounter_id'" not in held
+    dates = [r["date"] for r in pipeline.load_gold(spark, config)["hospital_daily_admissions"].collect() if r["hospital_id"] == "H01"]
+    assert dates == sorted(dates)
     assert files.exists(spark, config.path("reports", "profile_batch_0.md"))
     for table, key in schemas.SILVER_KEYS.items():
         assert pipeline.load_silver(spark, config)[table].groupBy(key).count().where("count > 1").count() == 0
@@ -136,6 +144,24 @@ def test_failure_leaves_silver_and_an_audit_row(spark, root, monkeypatch):
     assert failed["error_message"] == "forced" and failed["rows_read"] == 7 and failed["rows_loaded"] == 0
 
 
+@pytest.mark.parametrize("step", ["settled", "upsert"])
+def test_a_lost_row_fails_the_batch(spark, root, monkeypatch, step):
+    """A row that vanishes between validation and silver is noticed, and neither silver nor the quarantine changes."""
+    config = settings(root)
+    pipeline.run_batch(spark, config, "batch_0")
+    before = sorted(map(str, pipeline.load_quarantine(spark, config).collect()))
+    if step == "settled":
+        whole = silver.settled
+        monkeypatch.setattr(silver, "settled", lambda valid, *a: whole(valid, *a).where("coalesce(encounter_id, '') <> 'E6'" if "discharge_date" in valid.columns else "true"))
+    else:
+        whole = silver.upsert.upsert
+        monkeypatch.setattr(silver.upsert, "upsert", lambda current, fresh, key: whole(current, fresh, key).where("encounter_id <> 'E6'" if key == "encounter_id" else "true"))
+    with pytest.raises(silver.ReconciliationError, match="encounters"):
+        pipeline.run_batch(spark, config, "batch_1")
+    assert {silver.silver_table(spark, config, e).version() for e in schemas.ENTITIES} == {1} == {silver.vault_table(spark, config).version()}
+    assert sorted(map(str, pipeline.load_quarantine(spark, config).collect())) == before
+
+
 def test_missing_inputs(spark, root):
     with pytest.raises(FileNotFoundError):
         pipeline.run_batch(spark, settings(root), "batch_7")
@@ -161,6 +187,8 @@ def test_reconciliation_is_exact(spark):
     silver.verify({"patients": {"read": 4, "loaded": 1, "quarantined": 2, "superseded": 1}}, frames, hospitals)
     with pytest.raises(silver.ReconciliationError):
         silver.verify({"patients": {"read": 4, "loaded": 1, "quarantined": 2, "superseded": 0}}, frames, hospitals)
+    with pytest.raises(silver.ReconciliationError):
+        silver.verify({"patients": {"read": 4, "loaded": 1, "quarantined": 2, "superseded": 1, "stays": 3, "silver": 3}}, frames, hospitals)
     frames["encounters"] = spark.createDataFrame([("E", "H9")], "encounter_id string, hospital_id string")
     with pytest.raises(silver.ReconciliationError):
         silver.verify({}, frames, hospitals)
@@ -194,3 +222,29 @@ def test_sheet_must_be_there(tmp_path):
 def test_rule_order_is_kept(spark):
     df = spark.createDataFrame([("1", "bad", "bad")], "k string, a string, b string")
     assert rules.classify(df, "k", ("a",), ("b",)).first()["reject_reason"] == schemas.BAD_DATE
+
+
+def test_only_quoted_line_breaks_keep_a_file_whole(spark, tmp_path):
+    head = "patient_id,full_name,gender,date_of_birth,phone,email,national_id,city,primary_hospital_id,last_updated\n"
+    (tmp_path / "patients_a.csv").write_text(head + 'P1,"a ""b""",F,,,,,,,\n')
+    read = lambda: readers.read_entity(spark, str(tmp_path), "patients", "b", "t")
+    assert not readers._broken_lines(spark, [str(tmp_path / "patients_a.csv")]) and read().first()["full_name"] == 'a "b"'
+    (tmp_path / "patients_b.csv").write_text(head + 'P2,"a\nb",F,,,,,,,\n')
+    assert readers._broken_lines(spark, [str(tmp_path / "patients_b.csv")]) and {r["full_name"] for r in read().collect()} == {'a "b"', "a\nb"}
+
+
+def test_tables_of_one_pointer_are_published_together(spark, tmp_path):
+    a, b = (SnapshotTable(spark, str(tmp_path / name), "k int", str(tmp_path / "_CURRENT")) for name in "ab")
+    staged = [(t, t.stage(spark.createDataFrame([(k,)], "k int"))) for k, t in enumerate((a, b))]
+    assert a.version() == b.version() == 0
+    storage.publish(staged)
+    assert (a.read().first()[0], b.read().first()[0]) == (0, 1)
+    a.publish(a.stage(spark.createDataFrame([(7,)], "k int")))
+    assert (a.version(), b.version(), a.read().first()[0]) == (2, 1, 7)
+
+
+def test_command_line_runs_all_batches(spark, root, monkeypatch, capsys):
+    shutil.copytree(root / "data" / "batch_1_day2", root / "data" / "batch_2")
+    monkeypatch.setattr(pipeline, "build_session", lambda *a: spark)
+    pipeline.main(["--batch", "all", "--data-root", str(root / "data"), "--warehouse", str(root / "w"), "--salt", "s", "--as-of", "2026-01-01"])
+    assert capsys.readouterr().out.count("SUCCESS") == 3

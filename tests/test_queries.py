@@ -5,12 +5,12 @@ import math
 import duckdb
 import pytest
 
-from lakeward.plans import catalogue
+from lakeward.plans import catalogue, filequeries
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events".split()
 #: One query of each kind; all of them run with the driver's oracle at a larger size.
-NAMES = ["g_daily_admissions", "g_readmission_30d", "g_readmission_30d_join", "g_claims_summary", "g_lab_abnormality", "s_claims_dedupe_row", "s_claims_dedupe_coalesce", "s_watermark_upsert", "s_merge_upsert", "s_quarantine_keys", "f_parse_dates", "f_clean_name", "f_mask_all", "f_policy_masks", "f_tokenize", "v_patients_auditor", "v_patients_analyst", "v_role_counts", "v_row_filter_exists", "p_column_metrics", "p_top5_issues", "d_kpis", "d_lab_heatmap", "d_top10_outliers", "u_union_batches"]
+NAMES = ["g_daily_admissions", "g_readmission_30d", "g_readmission_30d_join", "g_claims_summary", "g_lab_abnormality", "s_claims_dedupe_row", "s_claims_dedupe_coalesce", "s_watermark_upsert", "s_merge_upsert", "s_quarantine_keys", "f_parse_dates", "f_clean_name", "f_mask_all", "f_policy_masks", "f_tokenize", "v_patients_auditor", "v_patients_analyst", "v_role_counts", "v_row_filter_exists", "p_column_metrics", "p_top5_issues", "d_kpis", "d_lab_heatmap", "d_top10_outliers", "u_union_batches", "s_quarantine_payload", "s_disposition_counts", "s_partition_filter", "st_available_now", *filequeries.QUERIES]
 
 
 @pytest.fixture(scope="module")

@@ -26,7 +26,7 @@ CASES = [
     (s.insurer, {"STAR HEALTH ": "Star Health", "Niva-Bupa": "Niva Bupa", "max_bupa": "Niva Bupa", "starcare": "Star Health", "acme mutual": "Acme Mutual", " ": "Unknown", None: "Unknown", "care-health": "Care Health", "hdfc  ergo insurance": "HDFC ERGO"}),
     (m.mask_full_name, {"Rahul Rao": "R***", "": "***", None: "***", " kim": "K***"}),
     (m.mask_phone, {"9876543210": "******3210", "123": "******123", None: "******", "": "******"}),
-    (m.mask_email, {"kunal.gowda83@example.com": "k***@example.com", None: None, "": None, "none": "***", "a@b@c": "a***@b@c"}),
+    (m.mask_email, {"kunal.gowda83@example.com": "k***@example.com", None: None, "": None, "none": "***", "a@b@c": "a***@b@c", "@x.com": "***@x.com", " a@b.c ": "a***@b.c", "  ": "***"}),
     (m.mask_national_id, {"745923018779": "********8779", None: "********", " ": "********", "123": "****123", "12345": "*2345"}),
 ]
 
@@ -65,3 +65,14 @@ def test_tokens_hide_the_salt(spark):
 def test_timestamps_are_read_one_by_one(spark):
     got = values(spark, "string", s.parse_timestamp, ["2026-01-01 10:00:00", "2026-01-01T10:00:00", "01/02/2026 09:30", "2026-01-03", "junk", None])
     assert [x and x.isoformat() for x in got] == ["2026-01-01T10:00:00", "2026-01-01T10:00:00", "2026-02-01T09:30:00", "2026-01-03T00:00:00", None, None]
+
+
+def test_policies(spark):
+    m.register_policies(spark, as_of="date'2026-01-01'")
+    got = lambda name, *x: spark.createDataFrame([(k, v) for k, v in enumerate(x)], "k int, v string").orderBy("k").selectExpr(f"{name}(v)").collect()
+    assert [r[0] for r in got("policy_dob", "1990-01-01", "not a date", None, "1985-12-31")] == ["30-39", "Unknown", "Unknown", "40-49"]
+    assert [r[0] for r in got("policy_email", "a@b@c", "none", None, "@x")] == ["a***@b", "***", None, "@***@x"]
+    assert [r[0] for r in got("policy_full_name", " kim", " ", None)] == ["K***", "***", "***"]
+    assert [r[0] for r in got("policy_phone", "+1 23-456", None)] == ["******3456", "******"] and [r[0] for r in got("policy_national_id", "12", "123456", None)] == ["********12", "********3456", "********"]
+    m.register_policies(spark, exempt="true")
+    assert [r[0] for r in got("policy_email", "a@b", None)] == ["a@b", None]
