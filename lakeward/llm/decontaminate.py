@@ -16,15 +16,13 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakeward.llm.common import remove, shared_dir, written
+from lakeward.llm.common import bounded, remove, shared_dir, written
 
 #: ASCII characters that separate words, before lower-casing.
 BREAK = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Words in a window; an item of fewer words is one window.
 WINDOW = 10
-#: Tables of the test set up to this many rows are broadcast (rows of under 100 bytes); larger ones are joined by shuffle.
-BROADCAST_ROWS = 100_000
 #: Places to verify are broadcast up to this many bytes of their words, and joined by shuffle beyond.
 BROADCAST_BYTES = 8 << 20
 
@@ -39,17 +37,14 @@ def lower_ascii(word: Column) -> Column:
     return F.when(F.lower(word) == word, word).otherwise(F.translate(word, UPPER, LOWER))
 
 
-def _key(doc_id: Column) -> Column:
-    return F.coalesce(doc_id.cast("long"), F.lit(-(1 << 63)))
-
-
-def _bounded(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+def _key(text: Column) -> Column:
+    """What postings call a document by: equal texts have the same matches, and texts that share a hash are told apart word by word."""
+    return F.xxhash64(text)
 
 
 @dataclass
 class Index:
-    """postings: term_id, key, pos; items: item_id, words; places: item_id, p, term, term_id, freq."""
+    """postings: term_id, key (a hash of the document's text), pos; items: item, item_id, words; places: item, p, term_id, freq."""
 
     postings: DataFrame
     items: DataFrame
@@ -57,14 +52,15 @@ class Index:
     root: str
 
 
-def build_index(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> Index:
+def build_index(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id") -> Index:
+    """The index of docs for the terms of benchmark. Null texts and items have no words; empty tables give an empty index."""
     root = shared_dir(docs.sparkSession)
     items = benchmark.select(F.col(item_col).cast("string").alias("item_id"), F.transform(words(F.col(text_col)), lower_ascii).alias("words"))
     items = written(items.where(F.size("words") > 0).distinct().withColumn("item", F.monotonically_increasing_id()), "items", root)
     at = items.select("item", F.posexplode("words").alias("p", "term"))
     terms = written(at.select("term").distinct().withColumn("term_id", F.monotonically_increasing_id()), "terms", root)
-    tokens = docs.select(_key(F.col(id_col)).alias("key"), F.posexplode(words(F.col(text_col))).alias("pos", "word")).withColumn("term", lower_ascii(F.col("word")))
-    postings = tokens.join(_bounded(terms), "term").select("term_id", "key", "pos").sortWithinPartitions("term_id", "key", "pos")
+    tokens = docs.select(_key(F.col(text_col)).alias("key"), F.posexplode(words(F.col(text_col))).alias("pos", "word")).withColumn("term", lower_ascii(F.col("word")))
+    postings = tokens.join(bounded(terms), "term").select("term_id", "key", "pos").sortWithinPartitions("term_id", "key", "pos")
     postings = written(postings, "postings", root)
     freq = postings.groupBy("term_id").agg(F.count(F.lit(1)).alias("freq"))
     known = terms.join(freq, "term_id", "left").select("term", "term_id", F.coalesce("freq", F.lit(0)).alias("freq"))
@@ -88,27 +84,27 @@ def candidates(index: Index, window: int = WINDOW) -> DataFrame:
     pairs = written(rarest(index, window).select("item", "p1", "t1", "p2", "t2").distinct(), "pairs", index.root)
     sought = pairs.select("item", F.col("p1").alias("p"), F.col("t1").alias("term_id")).union(pairs.select("item", "p2", "t2")).distinct()
     sought = written(sought, "sought", index.root)
-    hits = index.postings.join(_bounded(sought), "term_id").select("key", "item", (F.col("pos") - F.col("p")).alias("shift"), "p")
+    hits = index.postings.join(bounded(sought), "term_id").select("key", "item", (F.col("pos") - F.col("p")).alias("shift"), "p")
     met = hits.groupBy("key", "item", "shift").agg(F.collect_set("p").alias("found"))
     wanted = written(pairs.groupBy("item").agg(F.collect_set(F.struct("p1", "p2")).alias("pairs")), "wanted", index.root)
     both = F.exists("pairs", lambda x: F.array_contains("found", x["p1"]) & F.array_contains("found", x["p2"]))
-    return met.join(_bounded(wanted), "item").where(both).select("key", "item", "shift")
+    return met.join(bounded(wanted), "item").where(both).select("key", "item", "shift")
 
 
 def phrase_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", keep: list[str] | None = None) -> DataFrame:
     """One row for each document: its id, n_words, hits (distinct positions of words in a window's occurrence) and items (sorted).
 
     A null text has no words, an item without words no window. Items that repeat an item_id count once. Rows
-    that repeat a doc_id are each matched by their own text; null doc_ids are matched too. Columns in keep
-    follow as they are, others are ignored; empty tables give no matches.
+    that repeat a doc_id, or have none, are each matched by their own text. Columns in keep follow as they are,
+    others are ignored; empty tables give no matches. Very long texts are matched whole.
     """
     kept = [F.col(c) for c in keep or []]
-    index = build_index(docs, benchmark, id_col, text_col, item_col)
+    index = build_index(docs, benchmark, text_col, item_col)
     places = candidates(index, window).join(index.items.select("item", "item_id", F.col("words").alias("its")), "item")
     places = written(places.groupBy("key").agg(F.collect_list(F.struct("item_id", "shift", "its")).alias("places")), "candidates")
     remove(docs.sparkSession, index.root)  # only the places are read from here on
     size = places.select(F.sum(F.octet_length(F.to_json("places")))).first()[0] or 0
-    texts = docs.select(F.col(id_col).alias("doc_id"), _key(F.col(id_col)).alias("its_key"), words(F.col(text_col)).alias("own"), *kept)
+    texts = docs.select(F.col(id_col).alias("doc_id"), _key(F.col(text_col)).alias("its_key"), words(F.col(text_col)).alias("own"), *kept)
     right = F.broadcast(places) if size <= BROADCAST_BYTES else places
     joined = texts.join(right, F.col("its_key") == F.col("key"), "left")
     joined = joined.select("doc_id", F.size("own").alias("n_words"), "places", F.when(F.col("places").isNotNull(), F.transform("own", lower_ascii)).alias("w"), *kept)
@@ -131,7 +127,8 @@ def phrase_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
 def proximity_matches(index: Index, span: int, window: int = WINDOW) -> DataFrame:
     """key, item_id, start: windows whose two rarest terms occur within span words of each other, in any order.
 
-    Positions are dealt into ranges of span words, so that a posting meets only those of its own and the next ranges.
+    key is the hash of a document's text that postings have. Null texts and items have no words, and empty
+    tables no matches. Positions are dealt into ranges of span words, so that a posting meets only those of its own and the next ranges.
     """
     pairs = rarest(index, window)
     first = index.postings.join(pairs.select("item", "start", F.col("t1").alias("term_id")), "term_id").select("item", "start", "key", "pos", F.floor(F.col("pos") / span).alias("r"))

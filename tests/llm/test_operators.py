@@ -164,7 +164,8 @@ def test_proximity(spark):
     docs = spark.createDataFrame([(1, "alpha x x beta"), (2, "beta x x x x x x x alpha"), (3, "beta alpha")], "doc_id long, text string")
     items = spark.createDataFrame([(7, "alpha beta")], "item_id long, text string")
     index = decontaminate.build_index(docs, items)
-    assert rows(decontaminate.proximity_matches(index, 3)) == [(1, "7", 0), (3, "7", 0)]
+    named = decontaminate.proximity_matches(index, 3).join(docs.select("doc_id", F.xxhash64("text").alias("key")), "key")
+    assert rows(named.select("doc_id", "item_id", "start")) == [(1, "7", 0), (3, "7", 0)]
 
 
 # token files
