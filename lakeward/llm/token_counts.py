@@ -4,6 +4,10 @@ A byte-level BPE encodes each pre-token by itself, so a document's count is the
 tree's leaves hold runs of pre-tokens with their lengths and counts, inner nodes sums. An edit finds its place
 by the sums, splits the text anew from the pre-token before it until boundaries meet the old ones again,
 encodes only that region, and updates the sums above the leaves that it touched.
+
+Trees are kept in a table, a row for each document and version: its text and its leaves. Edits that come later
+are applied to that table; a tree is built again from its leaves without encoding anything, and the new version
+is a row of the same form.
 """
 
 from __future__ import annotations
@@ -11,12 +15,13 @@ from __future__ import annotations
 import base64
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeward.llm.common import map_arrow
+from lakeward.llm.common import map_arrow, shared_dir, written
 
 #: Pre-tokens of a leaf when it is made, and at most.
 LEAF, MOST = 64, 128
@@ -78,11 +83,28 @@ def _leaves(lengths: list[int], counts: list[int]) -> list[Node]:
 class CountedText:
     """A text with its token count, kept under edits. encoded: pre-tokens that had to be counted so far."""
 
-    def __init__(self, text: str, counter: Counter) -> None:
-        self.text, self.counter = text, counter
-        parts = counter.split.findall(text)
-        self.root = _built(_leaves(list(map(len, parts)), [counter[x] for x in parts]))
-        self.encoded = len(parts)
+    def __init__(self, text: str, counter: Counter, kept: bytes | None = None) -> None:
+        """kept: leaves of the same text, from which the tree is built without encoding it."""
+        self.text, self.counter, self.encoded = text, counter, 0
+        if kept is None:
+            parts = counter.split.findall(text)
+            lengths, counts = list(map(len, parts)), [counter[x] for x in parts]
+            self.encoded = len(parts)
+        else:
+            lengths, counts = np.frombuffer(kept, "<u4").reshape(2, -1).tolist()
+        self.root = _built(_leaves(lengths, counts))
+
+    def leaves(self) -> bytes:
+        """Lengths of all pre-tokens in characters, then their counts, as 32-bit numbers."""
+        lengths, counts, above = [], [], [self.root]
+        while above:
+            node = above.pop()
+            if node.lengths is None:
+                above += [node.right, node.left]
+            else:
+                lengths += node.lengths
+                counts += node.counts
+        return np.array([lengths, counts], "<u4").tobytes()
 
     @property
     def tokens(self) -> int:
@@ -202,29 +224,65 @@ def _counter(path: str, pattern: str) -> Counter:
 Edits = Callable[[str], list[tuple[int, int, str]]]
 
 
-def edit_counts(docs: DataFrame, path: str, pattern: str, edits_col: str = "edits", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_pretokens, n_tokens, and after the edits: n_edits, edited_chars, edited_tokens, reencoded (pre-tokens counted anew).
+_TREE = "doc_id long, version int, text string, leaves binary, n_pretokens long, n_tokens long"
+
+
+def trees(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """The first version of each document's tree: doc_id, version, text, leaves, n_pretokens, n_tokens, and columns in keep as ``kept``.
+
+    A null text counts as empty. Repeated rows and null ids each have their own tree; other columns are ignored,
+    and an empty table gives none.
+    """
+    kept = F.struct(F.lit(None).cast("int").alias("_"), *(F.col(c) for c in keep or []))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), kept.alias("kept"))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counter = _counter(path, pattern)
+        for batch in batches:
+            own = [CountedText(text, counter) for text in batch[1].to_pylist()]
+            made = [pa.array([0] * len(own), pa.int32()), batch[1], pa.array([x.leaves() for x in own], pa.binary()), pa.array([x.encoded for x in own], pa.int64()), pa.array([x.tokens for x in own], pa.int64())]
+            yield pa.RecordBatch.from_arrays([batch[0], *made, batch[2]], [*(x.split()[0] for x in _TREE.split(", ")), "kept"])
+
+    return map_arrow(rows, work, f"{_TREE}, kept {rows.schema['kept'].dataType.simpleString()}")
+
+
+def edited(kept_trees: DataFrame, edits: F.Column, path: str, pattern: str) -> DataFrame:
+    """The next version of each tree, with n_edits, reencoded (pre-tokens counted anew), and the counts before: old_pretokens, old_tokens.
 
     edits: array<struct<start,end,new>>, each applied to the text that the ones before it left, in characters;
-    places outside a text are moved into it, null edits and null members count as none and as empty. A null text
-    counts as empty. Repeated rows are each counted; other columns are ignored.
+    places outside a text are moved into it, null edits and null members count as none and as empty.
     """
-    schema = "doc_id long, n_pretokens long, n_tokens long, n_edits long, edited_chars long, edited_tokens long, reencoded long"
+    schema = f"{_TREE}, n_edits long, reencoded long, old_pretokens long, old_tokens long"
+    rows = kept_trees.select("doc_id", "version", "text", "leaves", edits.alias("edits"), "n_pretokens", "n_tokens")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = _counter(path, pattern)
         for batch in batches:
-            rows = []
-            for doc_id, text, edits in zip(*(batch[k].to_pylist() for k in range(3)), strict=True):
-                counted = CountedText(text or "", counter)
-                first, tokens, edits = counted.encoded, counted.tokens, edits or []
-                for x in edits:
+            out = []
+            for doc_id, version, text, leaves, changes in zip(*(batch[k].to_pylist() for k in range(5)), strict=True):
+                counted = CountedText(text or "", counter, leaves)
+                for x in changes or []:
                     if x:
                         counted.edit(x["start"] or 0, x["start"] or 0 if x["end"] is None else x["end"], x["new"] or "")
-                rows.append((doc_id, first, tokens, len(edits), len(counted.text), counted.tokens, counted.encoded - first))
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (zip(*rows, strict=True) if rows else [[]] * 7)], [x.split()[0] for x in schema.split(", ")])
+                made = counted.leaves()
+                out.append((doc_id, version + 1, counted.text, made, len(made) // 8, counted.tokens, len(changes or []), counted.encoded))
+            kinds = [pa.int64(), pa.int32(), pa.string(), pa.binary(), *[pa.int64()] * 4]
+            yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*out, strict=True) if out else [[]] * 8, kinds, strict=True)] + [batch[5], batch[6]], [x.split()[0] for x in schema.split(", ")])
+
+    return map_arrow(rows, work, schema)
 
-    return map_arrow(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(edits_col).alias("edits")), work, schema)
+
+def edit_counts(docs: DataFrame, path: str, pattern: str, edits_col: str = "edits", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_pretokens, n_tokens, and after the edits: n_edits, edited_chars, edited_tokens, reencoded (pre-tokens counted anew).
+
+    Trees are written as a table, and the edits are applied to what is read back. Nulls, repeated rows and other
+    columns are treated as trees and edited do.
+    """
+    stored = written(trees(docs, path, pattern, id_col, text_col, [edits_col]), "trees", shared_dir(docs.sparkSession))
+    after = edited(stored, F.col(f"kept.`{edits_col}`"), path, pattern)
+    return after.select(
+        "doc_id", F.col("old_pretokens").alias("n_pretokens"), F.col("old_tokens").alias("n_tokens"), "n_edits", F.length("text").cast("long").alias("edited_chars"), F.col("n_tokens").alias("edited_tokens"), "reencoded"
+    )
 
 
 def review_edits(text: str = "text", id_col: str = "doc_id") -> F.Column:
