@@ -17,37 +17,46 @@ from lakeward.llm.common import shared_dir, table, written
 ORACLE_SQL = None
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents whose language is told by a clear margin; dictionaries come from the labelled documents."""
+    """Keeps documents whose language is told by a clear margin; dictionaries come from the labelled documents.
+
+    Texts that are null or have no letter have no language and go. Other columns stay as they are, whatever
+    their names; an empty table stays empty, and one without labels loses all its rows.
+    """
     found = language_id.identify(docs, language_id.fit(docs, F.lit(True)))
     return found.where("not rejected").select("doc.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one row of each group: that with the smallest doc_id, of rows that repeat it the first."""
-    numbered = written(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered", shared_dir(spark))
-    groups = simhash.near_duplicates(numbered, id_col="__row").select(F.col("__row").alias("its_row"), "component_id")
-    named = numbered.select("doc_id", "__row").join(groups, F.col("__row") == F.col("its_row"))
-    kept = named.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__row"))["__row"].alias("kept_row"))
-    return numbered.join(kept, F.col("__row") == F.col("kept_row"), "left_semi").drop("__row")
+    """Keeps one row of each group: that with the smallest doc_id, of rows that repeat it the first.
+
+    Null doc_ids come last. Texts without words are one group. Other columns stay, whatever their names; an
+    empty table stays empty.
+    """
+    packed = docs.select(F.struct("*").alias("doc"), F.col("doc_id").alias("its_id"), "text", F.monotonically_increasing_id().alias("row"))
+    numbered = written(packed, "numbered", shared_dir(spark))
+    groups = simhash.near_duplicates(numbered, id_col="row").select(F.col("row").alias("its_row"), "component_id")
+    named = numbered.select("its_id", "row").join(groups, F.col("row") == F.col("its_row"))
+    kept = named.groupBy("component_id").agg(F.min(F.struct(F.col("its_id").isNull().alias("none"), "its_id", "row"))["row"].alias("kept_row"))
+    return numbered.join(kept, F.col("row") == F.col("kept_row"), "left_semi").select("doc.*")
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops rows that hold a window of a benchmark item, each by its own text: doc_ids may be null or repeat.
 
-    Texts are looked up by a hash; texts that share one are still compared word by word.
+    Null texts have no words and stay. Other columns stay, whatever their names; an empty table stays empty.
     """
-    keyed = docs.select(F.struct("*").alias("doc"), "text", F.xxhash64("text").alias("key"))
-    found = decontaminate.phrase_matches(keyed, table(spark, sf_dir, "benchmark"), id_col="key", keep=["doc"])
+    packed = docs.select(F.struct("*").alias("doc"), "text", F.lit(0).alias("any_id"))
+    found = decontaminate.phrase_matches(packed, table(spark, sf_dir, "benchmark"), id_col="any_id", keep=["doc"])
     return found.where(F.size("hits") == 0).select("doc.*")
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
+    """Each document as often as the mix takes it; null texts have no words and are taken as often as their source is as a whole."""
     return mixing.mixed(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Writes token files and returns the digest of what they hold."""
+    """Writes token files and returns the digest of what they hold, a row for each row of docs; a null text is empty."""
     return token_files.token_digests(spark, docs, public_tokenizers.path("word_bpe_49k.json"), 1)
 
 
