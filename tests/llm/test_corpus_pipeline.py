@@ -2,6 +2,7 @@
 
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline as p
@@ -67,6 +68,17 @@ def test_rows_of_one_doc_id_are_judged_one_by_one(spark, docs):
     assert sorted(((r["doc_id"], r["source"]) for r in got.collect()), key=str) == sorted(want, key=str)
 
 
+@pytest.mark.parametrize("stage", [f for _, f in p.STAGES[:-1]], ids=lambda f: f.__name__)
+def test_other_columns_stay_and_empty_tables_stay_empty(spark, docs, stage):
+    names = ["__row", "row", "doc", "its_id", "hits", "key", "any_id", "copies", "size", "rejected", "lead"]
+    clash = docs.limit(12).withColumns({name: F.lit(k) for k, name in enumerate(names)})
+    got = stage(spark, clash, DATA)
+    assert got.columns == clash.columns
+    for row in got.limit(3).collect():
+        assert [row[name] for name in names] == list(range(len(names)))
+    assert stage(spark, docs.limit(0), DATA).count() == 0
+
+
 def test_tokens_of_all_rows(spark, docs):
     tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     some = docs.limit(30).unionByName(docs.limit(5))
