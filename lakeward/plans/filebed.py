@@ -131,7 +131,7 @@ def _once(spark: SparkSession, sf_dir: str, step: str) -> Config:
         if step == "files":
             root = scratch(spark, "filebed")
             _deliver(spark, sf_dir, f"{root}/data")
-            _made[key] = get_config(f"{root}/data", f"{root}/warehouse", SALT, AS_OF, sketches=True)
+            _made[key] = get_config(f"{root}/data", f"{root}/warehouse", SALT, AS_OF, sketches=True, profiles=False)
         else:
             config = _once(spark, sf_dir, "files")
             for batch in ("batch_0", "batch_0", "batch_1"):

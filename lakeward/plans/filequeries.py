@@ -231,6 +231,10 @@ def snk_reports(spark: SparkSession, d: str) -> DataFrame:
     """Reports that are there and name all four entities."""
     config = fb.warehouse(spark, d)
     pipeline.cleansing_report(spark, config)
+    hospitals = readers.read_hospitals(spark, config.path("landing", "reference"))
+    for batch in fb.FOLDERS:
+        pipeline.profile_batch(spark, config, batch, hospitals)
+    pipeline.profile_silver(spark, config, hospitals)
     text = spark.read.text(config.path("reports"), wholetext=True).select(F.substring_index(F.col("_metadata.file_path"), "/", -1).alias("name"), "value")
     told = F.lit(True)
     for entity in schemas.ENTITIES:

@@ -86,6 +86,15 @@ def profile_report(title: str, tables: dict[str, DataFrame], hospitals: DataFram
     return profile.markdown(title, told)
 
 
+def profile_batch(spark: SparkSession, config: Config, batch_id: str, hospitals: DataFrame) -> None:
+    batch = {e: load_bronze(spark, config, e, batch_id) for e in schemas.ENTITIES}
+    files.write_text(spark, config.path("reports", f"profile_{batch_id}.md"), profile_report(f"Bronze, {batch_id}", batch, hospitals, sketches=config.sketches))
+
+
+def profile_silver(spark: SparkSession, config: Config, hospitals: DataFrame) -> None:
+    files.write_text(spark, config.path("reports", "profile_silver.md"), profile_report("Silver", load_silver(spark, config), hospitals, sketches=config.sketches))
+
+
 def run_batch(spark: SparkSession, config: Config, batch_id: str) -> dict:
     """One batch from files to marts. On failure an audit row is left, silver stays as it was, and the error is raised."""
     started, read = now(), {}
@@ -101,9 +110,11 @@ def run_batch(spark: SparkSession, config: Config, batch_id: str) -> dict:
         silver.write_bronze(raw, config)
         batch = {e: load_bronze(spark, config, e, batch_id) for e in schemas.ENTITIES}
         read = {"read": sum(df.count() for df in batch.values())}
-        files.write_text(spark, config.path("reports", f"profile_{batch_id}.md"), profile_report(f"Bronze, {batch_id}", batch, hospitals, sketches=config.sketches))
+        if config.profiles:
+            profile_batch(spark, config, batch_id, hospitals)
         counts = silver.build(spark, config, batch_id, batch, hospitals, started)
-        files.write_text(spark, config.path("reports", "profile_silver.md"), profile_report("Silver", load_silver(spark, config), hospitals, sketches=config.sketches))
+        if config.profiles:
+            profile_silver(spark, config, hospitals)
         build_gold(spark, config, hospitals)
         totals = {k: sum(n[k] for n in counts.values()) for k in ("read", "loaded", "quarantined", "superseded")}
         record_run(spark, config, batch_id, started, totals, "SUCCESS")
