@@ -116,15 +116,22 @@ class Lexicon:
         return []
 
     def _search(self, word: str) -> list[tuple[int, int]]:
-        automaton = Automaton(word)
-        found, todo = [], [(self.root, automaton.start)]
+        """Runs the automaton of the word along the trie; its two sets of places are steps of Automaton, written out."""
+        automaton = Automaton(word, 1)
+        at, size, full = automaton.at.get, automaton.size, (1 << automaton.size + 1) - 1
+        found, todo = [], [(self.root, *automaton.start)]
         while todo:
-            node, state = todo.pop()
-            if "" in node and (edits := automaton.accepted(state)) is not None and len(self.terms[node[""]]) >= MIN_FUZZY:
-                found.append((node[""], edits))
+            node, whole, edited = todo.pop()
             for c, below in node.items():
-                if c and any(after := automaton.step(state, c)):
-                    todo.append((below, after))
+                if not c:
+                    if (whole | edited) >> size and len(self.terms[below]) >= MIN_FUZZY:
+                        found.append((below, 0 if whole >> size else 1))
+                    continue
+                same = at(c, 0)
+                after = (whole & same) << 1
+                near = ((edited & same) << 1 | whole | whole << 1 | after << 1) & full
+                if after or near:
+                    todo.append((below, after, near))
         return sorted(found)
 
 
