@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakeward.llm import decontaminate, language_id, mixing, simhash, token_files
-from lakeward.llm.common import shared_dir, table, written
+from lakeward.llm.common import bounded, shared_dir, table, written
 
 #: No stage after the first can be stated without the first, and compression can't be stated in SQL.
 ORACLE_SQL = None
@@ -37,7 +37,16 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     groups = simhash.near_duplicates(numbered, id_col="row").select(F.col("row").alias("its_row"), "component_id")
     named = numbered.select("its_id", "row").join(groups, F.col("row") == F.col("its_row"))
     kept = named.groupBy("component_id").agg(F.min(F.struct(F.col("its_id").isNull().alias("none"), "its_id", "row"))["row"].alias("kept_row"))
-    return numbered.join(kept, F.col("row") == F.col("kept_row"), "left_semi").select("doc.*")
+    return marked(numbered, kept).select("doc.*")
+
+
+def marked(numbered: DataFrame, kept: DataFrame) -> DataFrame:
+    """Rows of numbered whose row is a kept_row, found in bitmaps of 32,768 rows each, so that texts are not shuffled."""
+    bits = kept.groupBy(F.bitmap_bucket_number("kept_row").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("kept_row")).alias("bits"))
+    bits, at = bounded(written(bits, "kept", shared_dir(kept.sparkSession))), F.bitmap_bit_position("row")
+    byte = F.conv(F.hex(F.substr("bits", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    found = numbered.join(bits, F.bitmap_bucket_number("row") == F.col("bucket"))
+    return found.where(F.getbit(byte, (at % 8).cast("int")) == 1).drop("bucket", "bits")
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -93,3 +93,14 @@ def test_run(spark):
     assert all(a["start"] + a["n_tokens"] == b["start"] and a["doc_id"] <= b["doc_id"] for a, b in zip(rows, rows[1:], strict=False))
     again = p.run(spark, DATA)
     assert sorted(map(tuple, again.collect())) == sorted(map(tuple, rows))
+
+
+def test_kept_rows_are_marked_without_a_shuffle_of_texts(spark):
+    """Rows at the edges of bytes, bitmaps and partitions; the texts reach the filter by the scan alone."""
+    places = [0, 1, 7, 8, 9, 32767, 32768, 32769, 65536, 65537, 1 << 33, (1 << 33) + 1, (5 << 33) + 40000]
+    numbered = spark.createDataFrame([(x, f"text {x}") for x in places], "row long, text string")
+    for wanted in (places[::2], places[1::2], places, []):
+        kept = spark.createDataFrame([(x,) for x in wanted], "kept_row long")
+        found = p.marked(numbered, kept)
+        assert sorted(r["row"] for r in found.collect()) == sorted(wanted)
+        assert "Exchange hashpartitioning" not in found._jdf.queryExecution().executedPlan().toString()
