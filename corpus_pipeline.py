@@ -32,9 +32,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Null doc_ids come last. Texts without words are one group. Other columns stay, whatever their names; an
     empty table stays empty.
     """
-    packed = docs.select(F.struct("*").alias("doc"), F.col("doc_id").alias("its_id"), "text", F.monotonically_increasing_id().alias("row"))
-    numbered = written(packed, "numbered", shared_dir(spark))
-    groups = simhash.near_duplicates(numbered, id_col="row").select(F.col("row").alias("its_row"), "component_id")
+    packed = docs.select(F.struct("*").alias("doc"), F.monotonically_increasing_id().alias("row"))  # a text is stored once, within its row
+    numbered = written(packed, "numbered", shared_dir(spark)).withColumn("its_id", F.col("doc.doc_id"))
+    groups = simhash.near_duplicates(numbered.select("row", "doc.text"), id_col="row").select(F.col("row").alias("its_row"), "component_id")
     named = numbered.select("its_id", "row").join(groups, F.col("row") == F.col("its_row"))
     kept = named.groupBy("component_id").agg(F.min(F.struct(F.col("its_id").isNull().alias("none"), "its_id", "row"))["row"].alias("kept_row"))
     return marked(numbered, kept).select("doc.*")

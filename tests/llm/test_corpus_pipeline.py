@@ -104,3 +104,10 @@ def test_kept_rows_are_marked_without_a_shuffle_of_texts(spark):
         found = p.marked(numbered, kept)
         assert sorted(r["row"] for r in found.collect()) == sorted(wanted)
         assert "Exchange hashpartitioning" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_near_duplicates_store_texts_once(spark, docs, monkeypatch):
+    tables, written = {}, p.written
+    monkeypatch.setattr(p, "written", lambda df, name="table", root=None: tables.update({name: df.columns}) or written(df, name, root))
+    assert p.near_duplicates(spark, docs, DATA).columns == docs.columns
+    assert tables["numbered"] == ["doc", "row"]
