@@ -14,21 +14,25 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import itertools
 import json
 import urllib.parse
 import uuid
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyarrow import fs
-from pyspark.sql import DataFrame
+from pyarrow import fs, parquet
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lakeward.llm.common import map_arrow, raw, shared_dir, written
 
 #: Payloads below this size are always stored.
 LEAST_REVISIT = 1000
+#: Revisits whose keys a task holds to tell them from responses; beyond that, payloads are shuffled to their decisions.
+MOST_KEYS = 1 << 23
 #: Records that one row of the work list covers when archives are read back.
 RUN = 256
 PIECE = 1 << 20
@@ -55,39 +59,69 @@ def _head(page_id: int | None, url: str | None, n: int, digest: str, refers_to:
     return "\r\n".join(lines).encode(), http
 
 
-def decided(pages: DataFrame, least: int = LEAST_REVISIT, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> DataFrame:
-    """page_id, url, payload, digest, refers_to: the page whose response a revisit refers to, or null.
+def decided(pages: DataFrame, least: int = LEAST_REVISIT, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> tuple[DataFrame, DataFrame, str | None]:
+    """Pages that may be responses, those that are revisits, and where to find the keys by which write() drops the latter from the former.
 
     Of equal payloads of at least ``least`` bytes the largest page_id is the response; rows that repeat that
-    page_id are all responses. A null page_id counts as smallest.
+    page_id are all responses. A null page_id counts as smallest. Revisits come from a table of digests, as they
+    need no payload, and tasks hold payloads against their keys, 8 bytes each: payloads are shuffled only where
+    the keys are more than MOST_KEYS, and then none are given.
     """
+    root = shared_dir(pages.sparkSession)
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(payload_col), F.lit("")).cast("binary").alias("payload"))
-    rows = rows.withColumn("digest", F.sha1("payload"))
-    light = written(rows.select("page_id", "digest", F.octet_length("payload").alias("n")).where(F.col("n") >= least), "digests", shared_dir(pages.sparkSession))
+    rows = rows.withColumns({"digest": F.sha1("payload"), "n": F.octet_length("payload").cast("long")})
+    light = written(rows.select("page_id", "url", "digest", "n").where(F.col("n") >= least), "digests", root)
     groups = light.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).where("n > 1 and refers_to is not null").select("digest", "refers_to")
-    revisits = light.select("page_id", "digest").join(groups, "digest").where("page_id is null or page_id < refers_to").distinct()
-    revisits = revisits.select(F.col("page_id").alias("its_id"), F.col("digest").alias("its_digest"), "refers_to")
-    return rows.join(revisits, F.col("page_id").eqNullSafe(F.col("its_id")) & (F.col("digest") == F.col("its_digest")), "left").select("page_id", "url", "payload", "digest", "refers_to")
+    revisits = written(light.join(groups, "digest").where("page_id is null or page_id < refers_to").select("page_id", "url", F.lit(None).cast("binary").alias("payload"), "digest", "refers_to", "n"), "revisits", root)
+    responses = rows.select("page_id", "url", "payload", "digest", F.lit(None).cast("long").alias("refers_to"), "n")
+    pairs = revisits.select(F.col("page_id").alias("its_id"), F.col("digest").alias("its_digest")).distinct()
+    those = F.col("page_id").eqNullSafe(F.col("its_id")) & (F.col("digest") == F.col("its_digest"))
+    found = pairs.count()
+    if found > MOST_KEYS:
+        return responses.join(pairs, those, "left_anti"), revisits, None
+    if not found:
+        return responses, revisits, None
+    others = light.join(pairs, those, "left_anti")
+    for salt in itertools.count():  # until no other page of that size has a revisit's key
+        keys = written(pairs.select(_key(salt, "its_id", "its_digest")).distinct(), f"keys_{salt}", root)
+        if others.select(_key(salt, "page_id", "digest")).join(keys, "key", "left_semi").isEmpty():
+            return responses.withColumn("key", F.when(F.col("n") >= least, _key(salt, "page_id", "digest"))), revisits, f"{root}/keys_{salt}"
 
 
-def write(records: DataFrame, folder: str) -> DataFrame:
-    """Writes each partition's records as one gzip stream; gives the files."""
+def _key(salt: int, page_id: str, digest: str) -> Column:
+    return F.xxhash64(F.lit(salt), page_id, digest).alias("key")
+
+
+def _keys(uri: str) -> np.ndarray:
+    """Keys of a table of the shared folder, sorted."""
+    store, path = fs.FileSystem.from_uri(uri)
+    names = [f.path for f in store.get_file_info(fs.FileSelector(path)) if f.is_file and f.path.endswith(".parquet")]
+    return np.sort(np.concatenate([parquet.read_table(store.open_input_file(n), columns=["key"])["key"].to_numpy() for n in names]))
+
+
+def write(records: DataFrame, folder: str, dropped: str | None = None) -> DataFrame:
+    """Writes each partition's records as one gzip stream, but those whose key is in the table dropped; gives the files."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, path = fs.FileSystem.from_uri(f"{folder}/{uuid.uuid4().hex}.warc.gz")
-        n, out, pack = 0, None, zlib.compressobj(1, zlib.DEFLATED, 31)
+        count, out, pack, keys = 0, None, zlib.compressobj(1, zlib.DEFLATED, 31), None
         for batch in batches:
-            columns = (batch[0].to_pylist(), batch[1].to_pylist(), raw(batch[2]), batch[3].to_pylist(), batch[4].to_pylist())
-            for page_id, url, payload, digest, refers_to in zip(*columns, strict=True):
+            if dropped:
+                keys = _keys(dropped) if keys is None else keys
+                own = batch[6].fill_null(0).to_numpy()
+                there = keys[np.minimum(np.searchsorted(keys, own), len(keys) - 1)] == own
+                batch = batch.filter(pa.array(~there | batch[6].is_null().to_numpy(zero_copy_only=False)))
+            columns = (batch[0].to_pylist(), batch[1].to_pylist(), raw(batch[2]), batch[3].to_pylist(), batch[4].to_pylist(), batch[5].to_pylist())
+            for page_id, url, payload, digest, refers_to, n in zip(*columns, strict=True):
                 out = out or store.open_output_stream(path, compression=None)
-                head, http = _head(page_id, url, len(payload), digest, refers_to, refers_to is not None)
+                head, http = _head(page_id, url, n, digest, refers_to, refers_to is not None)
                 body = http if refers_to is not None else http + payload
                 out.write(pack.compress(head + body + b"\r\n\r\n"))
-                n += 1
+                count += 1
         if out:
             out.write(pack.flush())
             out.close()
-            yield pa.RecordBatch.from_arrays([pa.array([path.rsplit("/", 1)[1]]), pa.array([n], pa.int64())], ["file", "records"])
+            yield pa.RecordBatch.from_arrays([pa.array([path.rsplit("/", 1)[1]]), pa.array([count], pa.int64())], ["file", "records"])
 
     return map_arrow(records, work, RAW)
 
@@ -214,5 +248,6 @@ def archive(pages: DataFrame, folder: str | None = None, **columns: object) -> t
     folder = folder or f"{shared_dir(pages.sparkSession)}/warc"
     store, where = fs.FileSystem.from_uri(folder)
     store.create_dir(where)
-    files = written(write(decided(pages, **columns), folder), "files", folder)
+    responses, revisits, keys = decided(pages, **columns)
+    files = written(write(responses, folder, keys).unionByName(write(revisits, folder)), "files", folder)
     return folder, written(normalise(files, folder), "runs", folder)

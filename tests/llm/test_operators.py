@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import tempfile
 import tracemalloc
 import zlib
 
@@ -226,6 +227,24 @@ def test_archives(spark):
     assert warc.archive(spark.createDataFrame([], "page_id long, url string, html string"))[1].count() == 0
 
 
+def test_archives_do_not_shuffle_payloads(spark, monkeypatch):
+    data = [(k, f"u{k}", (f"{k % 60} " if k % 5 else f"{k} ") * 400 if k % 7 else "short") for k in range(300)] + [(None, None, "1 " * 400), (7, "again", "7 " * 400)]
+    pages = spark.createDataFrame(data, "page_id long, url string, html string").repartition(5)
+    last = {}
+    for p, _, h in data:
+        last[h] = max(last.get(h, -1), -1 if p is None else p)
+    want = sorted([(p, "revisit" if len(h) >= 1000 and (p is None or p < last[h]) else "response") for p, _, h in data], key=str)
+    for most in (warc.MOST_KEYS, 3):
+        monkeypatch.setattr(warc, "MOST_KEYS", most)
+        folder, runs = warc.archive(pages)
+        assert sorted(((r["page_id"], r["record_type"]) for r in warc.read(runs, folder).collect()), key=str) == want
+    monkeypatch.undo()
+    path = tempfile.mkdtemp(prefix="spark-")
+    pages.write.mode("overwrite").parquet(path)
+    responses, _, keys = warc.decided(spark.read.parquet(path))
+    assert keys and "Exchange" not in responses._jdf.queryExecution().executedPlan().toString()
+
+
 # mixing
 
 
